@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.llm import components, lookalikes, repeated_lines
+from threadloom.llm import components, lookalikes, name_variants, repeated_lines, truncation
 
-MODULES = (lookalikes, repeated_lines, components)
+MODULES = (name_variants, lookalikes, repeated_lines, components, truncation)
 
 
 def queries():
