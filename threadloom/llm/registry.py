@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.llm import components, lookalikes, name_variants, repeated_lines, truncation
+from threadloom.llm import components, lookalikes, name_variants, page_template, repeated_lines, truncation
 
-MODULES = (name_variants, lookalikes, repeated_lines, components, truncation)
+MODULES = (name_variants, page_template, lookalikes, repeated_lines, components, truncation)
 
 
 def queries():
