@@ -416,11 +416,13 @@ def _articles(spark, sf_dir):
 
 def p4_found(spark, sf_dir):
     d = clean_markup(_articles(spark, sf_dir), "article_id", "body").where("language is not null").drop("clean")
-    kinds = ("heading", "list_item", "code_block", "formula")
-    each = F.flatten(F.array(F.array(F.struct(F.lit("markup").alias("element"), F.lit(0).alias("ordinal"))), *[
-        F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(1), F.col(k)), lambda o, k=k: F.struct(F.lit(k).alias("element"), o.alias("ordinal")))).otherwise(F.array().cast("array<struct<element:string,ordinal:int>>"))
-        for k in kinds
-    ]))
+    none = F.array().cast("array<struct<element:string,ordinal:int>>")
+
+    def numbered(kind):
+        return F.when(F.col(kind) > 0, F.transform(F.sequence(F.lit(1), F.col(kind)), lambda o: F.struct(F.lit(kind).alias("element"), o.alias("ordinal")))).otherwise(none)
+
+    first = F.array(F.struct(F.lit("markup").alias("element"), F.lit(0).alias("ordinal")))
+    each = F.concat(first, *[numbered(k) for k in ("heading", "list_item", "code_block", "formula")])
     return d.select(F.col("id").alias("article_id"), F.explode(each).alias("e")).select("article_id", "e.element", "e.ordinal").distinct()
 
 
