@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.llm import components, lookalikes, markup, name_variants, page_template, repeated_lines, truncation
+from threadloom.llm import components, lookalikes, markup, mixing, name_variants, packing, page_template, repeated_lines, truncation
 
-MODULES = (name_variants, page_template, lookalikes, markup, repeated_lines, components, truncation)
+MODULES = (name_variants, page_template, lookalikes, markup, repeated_lines, components, packing, mixing, truncation)
 
 
 def queries():
