@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import dates
+from threadloom.plans import corpus, dates, evaluation, graph, resolution, spans
 
-MODULES = (dates,)
+MODULES = (dates, corpus, spans, graph, resolution, evaluation)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return queries()["p7_found"](spark, sf_dir)
+    return graph.co_occurrence(spark, sf_dir)
