@@ -104,13 +104,16 @@ def dependency_frames(tokens: DataFrame, doc: str = "article_id") -> DataFrame:
     def children(of: DataFrame, deps, alias):
         return of.join(c.where(F.col("cd").isin(*deps)), (F.col(doc) == F.col("d")) & (F.col("at") == F.col("of"))).select(doc, "i", F.col("ci").alias(alias))
 
+    # the token that each chain of conjuncts hangs on, by doubling: a chain of up to 16 is one coordination
+    up = t.select(F.col(doc).alias("ud"), F.col("i").alias("member"), F.when(F.col("dep") == "conj", F.col("head")).otherwise(F.col("i")).alias("top"))
+    for _ in range(4):
+        nxt = up.select(F.col("ud").alias("vd"), F.col("member").alias("vm"), F.col("top").alias("further"))
+        up = up.join(nxt, (F.col("ud") == F.col("vd")) & (F.col("top") == F.col("vm"))).select("ud", "member", F.col("further").alias("top"))
+
     def conjuncts(args: DataFrame, alias):
-        """Arguments with the tokens joined to them; a conjunction is a tree, so the loop ends at its depth."""
-        out, step = args, args
-        for _ in range(6):
-            step = step.join(c.where("cd = 'conj'"), (F.col(doc) == F.col("d")) & (F.col(alias) == F.col("of"))).select(*[x for x in args.columns if x != alias], F.col("ci").alias(alias))
-            out = out.unionByName(step)
-        return out.distinct()
+        """Arguments with the tokens joined to them."""
+        j = args.join(up, (F.col(doc) == F.col("ud")) & (F.col(alias) == F.col("top")))
+        return j.select(*[x for x in args.columns if x != alias], F.col("member").alias(alias)).distinct()
 
     subj_deps = ("nsubj", "nsubjpass")
     own = children(v.withColumn("at", F.col("i")), subj_deps, "s")

@@ -90,15 +90,15 @@ def coref_clusters(spark, sf_dir):
 
 def verb_frames(spark, sf_dir):
     """Who does what to whom, over a token table: the lines of an order stand for the words of a sentence."""
-    l = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
-    first = F.col("l_linenumber") == 1
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    l = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").withColumn("i", F.row_number().over(w))
     verbs = F.array(*[F.lit(v) for v in sorted(lx.VERBS)])
     t = l.select(
-        F.col("l_orderkey").cast("string").alias("article_id"), F.col("l_linenumber").alias("i"), F.when(first, F.element_at(verbs, (F.col("l_quantity").cast("int") % len(lx.VERBS)) + 1)).otherwise("x").alias("lemma"),
-        F.when(first, "VERB").otherwise("NOUN").alias("pos"), F.when(first, "ROOT").when(F.col("l_linenumber") == 2, "nsubj").when(F.col("l_linenumber") == 3, "dobj").otherwise("conj").alias("dep"),
-        F.when(F.col("l_linenumber") <= 3, 1).otherwise(F.col("l_linenumber") - 1).alias("head"),
+        F.col("l_orderkey").cast("string").alias("article_id"), "i", F.when(F.col("i") == 1, F.element_at(verbs, (F.col("l_partkey") % len(lx.VERBS) + 1).cast("int"))).otherwise("x").alias("lemma"),
+        F.when(F.col("i") == 1, "VERB").otherwise("NOUN").alias("pos"), F.when(F.col("i") == 1, "ROOT").when(F.col("i") == 2, "nsubj").when(F.col("i") == 3, "dobj").otherwise("conj").alias("dep"),
+        F.when(F.col("i") <= 3, 1).otherwise(3).alias("head"),
     )
-    return relations.dependency_frames(t.dropDuplicates(["article_id", "i"])).groupBy("predicate").agg(F.count("*").alias("frames"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return relations.dependency_frames(t).groupBy("predicate").agg(F.count("*").alias("frames"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 QUERIES = {
@@ -147,7 +147,7 @@ from threadloom.plans.corpus import _SENT  # noqa: E402
 
 _VERBS = sorted(lx.VERBS)
 _VERB_SQL = f"""
-WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber AS i, CAST(l_quantity AS INTEGER) % {len(_VERBS)} + 1 AS v FROM lineitem),
+WITH t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_partkey % {len(_VERBS)} + 1 AS v FROM lineitem),
 f AS (SELECT l_orderkey, ([{", ".join("'" + lx.VERBS[v] + "'" for v in _VERBS)}])[v] AS predicate FROM t WHERE i = 1),
 s AS (SELECT l_orderkey FROM t WHERE i = 2), o AS (SELECT l_orderkey, i FROM t WHERE i >= 3)
 SELECT predicate, count(*) AS frames, round(avg({lx.DIRECT}), 6) AS mean_confidence FROM f JOIN s USING (l_orderkey) JOIN o USING (l_orderkey) GROUP BY 1"""

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 def read(spark, sf_dir, name, *cols):
     t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return t.select(*cols) if cols else t
+    t = t.select(*cols) if cols else t
+    # a table of one file and row group is one task; texts are worth spreading then, larger tables have splits enough
+    if name in ("documents", "articles") and "text" in t.columns + ["text"] * ("body" in t.columns):
+        n = spark.sparkContext.defaultParallelism
+        return t.repartition(n) if t.rdd.getNumPartitions() < n // 2 else t
+    return t
 
 
 def mentions(spark, sf_dir):
