@@ -272,17 +272,17 @@ def read_wiki(t: str) -> tuple[dict, str]:
     t = re.sub(r"(?is)<math\b[^>]*>(.*?)</math\s*>", lambda m: r.hold("formula", f"${m[1].strip()}$"), t)
     t = re.sub(r"(?is)<!--.*?-->|<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>", "", t)
 
+    def item(m):
+        r.n["list_item"] += 1
+        return "- "
+
+    t = re.sub(r"(?m)^[*#:;]*[*#][ \t]*(?=\S)", item, t)
     def heading(m):
         r.n["heading"] += 1
         return "#" * len(m[1]) + " " + m[2].strip()
 
     t = re.sub(r"(?m)^(={1,6})[ \t]*([^=\n](?:.*[^=\n])?)[ \t]*\1[ \t]*$", heading, t)
 
-    def item(m):
-        r.n["list_item"] += 1
-        return "- "
-
-    t = re.sub(r"(?m)^[*#:;]*[*#][ \t]*(?=\S)", item, t)
     t = re.sub(r"(?m)^[:;]+[ \t]*", "", t)
     t = re.sub(r"\[\[(?:Category|Kategorie|Catégorie|Categoría|File|Image|Datei|Fichier|Archivo):[^\]]*\]\]", "", t)
     t = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", t)
