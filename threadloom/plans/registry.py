@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import corpus, dates, evaluation, graph, resolution, spans
+from threadloom.plans import corpus, dates, evaluation, graph, pipeline, resolution, spans
 
-MODULES = (dates, corpus, spans, graph, resolution, evaluation)
+MODULES = (dates, corpus, spans, graph, resolution, evaluation, pipeline)
 
 
 def queries():
