@@ -72,7 +72,3 @@ class StageTables:
 
     def drop_all(self) -> None:
         self._delete(self.root)
-
-
-def rows_of(df: DataFrame) -> int:
-    return df.count()
