@@ -103,6 +103,13 @@ def test_markup_operator(spark):
     assert markup.clean_markup(df.limit(0), "id", "body").count() == 0
 
 
+def test_markup_without_a_labelled_block(spark):
+    text = "Tefétoro tüküzü vaki na rünázuvu [[Néfa|Néfa]].\n"
+    assert not markup.trained().label([markup.block_vectors(text)])[0].any()
+    r = markup.clean_markup(spark.createDataFrame([("w", text)], "id string, body string"), "id", "body").first()
+    assert r["language"] == "wiki" and r["clean"] == "Tefétoro tüküzü vaki na rünázuvu Néfa."
+
+
 def test_truncation(spark):
     rng = random.Random(4)
     w = lambda n: " ".join(rng.choice(["rail", "freight", "talks", "ferry", "budget", "vote"]) for _ in range(n))

@@ -1,10 +1,12 @@
 """Problem 4: HTML, Markdown, wiki and LaTeX markup left in documents.
 
-Method: a recurrent block labeller. A document is a sequence of leaf blocks (its lines outside and inside open
-containers); each block has a vector of its tag path and a vector of its hashed words and signs; a bidirectional
-LSTM written in numpy reads the whole sequence and labels every block. Blocks it labels as markup are then read by
-the grammar of the document's language, which counts and converts exactly: headings, list items, code blocks and
-formulas are kept, everything else of the markup goes.
+Method: the grammar of a document's language reads the whole text, counts and converts exactly: headings, list items,
+code blocks and formulas are kept, everything else of the markup goes.
+
+A recurrent block labeller stands beside them and gives no row: a document is a sequence of leaf blocks (its lines
+outside and inside open containers); each block has a vector of its tag path and a vector of its hashed words and
+signs; a bidirectional LSTM written in numpy reads the whole sequence and labels every block. A block has one label,
+so two formulas in a line, or a formula in a list item, can't be counted from it; the README has the figures.
 
 The weights beside this file are made by markup_train.py from documents it writes itself.
 """
@@ -368,10 +370,8 @@ def language_of(text: str) -> tuple[str | None, int]:
     return None, 0
 
 
-def read_document(text: str, labels: np.ndarray) -> tuple[str | None, dict, str]:
-    """Language, element counts and clean text of a document, given its blocks' labels."""
-    if not labels.any():
-        return None, {}, text
+def read_document(text: str) -> tuple[str | None, dict, str]:
+    """Language, element counts and clean text of a document."""
     lang, _ = language_of(text)
     if lang is None:
         return None, {}, text
@@ -380,13 +380,10 @@ def read_document(text: str, labels: np.ndarray) -> tuple[str | None, dict, str]
 
 
 def _read(batches):
-    model = trained()
     for pdf in batches:
-        texts = pdf["text"].tolist()
-        labels = model.label([block_vectors(t) for t in texts])
         rows = []
-        for i, t, y in zip(pdf["id"], texts, labels):
-            lang, n, clean = read_document(t, y)
+        for i, t in zip(pdf["id"], pdf["text"]):
+            lang, n, clean = read_document(t)
             rows.append((i, lang, n.get("heading", 0), n.get("list_item", 0), n.get("code_block", 0), n.get("formula", 0), clean))
         yield pd.DataFrame(rows, columns=["id", "language", "heading", "list_item", "code_block", "formula", "clean"])
 
@@ -394,7 +391,7 @@ def _read(batches):
 def clean_markup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, language, heading, list_item, code_block, formula, clean) for each row with a text that may hold markup.
 
-    language is null and the text unchanged where the labeller or the grammar finds none. Null texts and ids and
+    language is null and the text unchanged where no language's signs are found. Null texts and ids and
     texts without any sign of the four languages are left out; repeated rows give repeated rows; an unclosed code
     block reaches to the end of the text. Other columns are ignored.
     """
