@@ -115,3 +115,12 @@ def test_linked_names(spark):
     assert not {("p1", "p3"), ("p2", "p3"), ("p3", "p4"), ("o1", "o3"), ("o2", "o3")} & got and not [x for x in got if x[0] in ("m6", "m7", "m8", "m9", "mx", "my")]
     assert name_variants.linked_names(m.limit(0), al.limit(0), ent.limit(0)).count() == 0
     assert all(r["left_id"] < r["right_id"] for r in name_variants.linked_names(m, al, ent).where(F.col("left_id").isNotNull()).collect())
+
+
+def test_frequent_misspelling(spark):
+    texts = ["Camille Trtulvez"] * 5 + ["Camille Tratulvez"] * 10 + ["Hugo Barnelov"] * 5 + ["Hugo Varnelov"] * 10 + ["Ana Barnelov"] * 4
+    m = spark.createDataFrame([(f"m{k}", "d", t, "PERSON") for k, t in enumerate(texts)], "mention_id string, article_id string, text string, label string")
+    names = [("p1", "Camille Trtulvez"), ("p2", "Camille Tratulvez"), ("p3", "Hugo Barnelov"), ("p4", "Hugo Varnelov")]
+    e = spark.createDataFrame([(i, "PERSON", t) for i, t in names], "entity_id string, entity_type string, canonical_name string")
+    got = {(r["left_id"], r["right_id"]) for r in name_variants.linked_names(m, spark.createDataFrame(names, "entity_id string, alias string"), e).collect()}
+    assert ("p1", "p2") in got and ("p3", "p4") not in got  # Barnelov is known from another person

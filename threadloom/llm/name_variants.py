@@ -64,6 +64,8 @@ SHORT = dict(
 CODES = {c: d for d, cs in enumerate(("bfpvw", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
 #: A word is part of many firms' names, not a name of its own, if this share of the distinct names has it; so at most 10 / share words are.
 GENERIC_SHARE = 0.004
+#: Letters from which one edit in a token that goes with one other token only is a misspelling, however often it is written.
+LONG = 7
 
 
 @functools.cache
@@ -330,17 +332,25 @@ class NameClusters:
     def resolve(self) -> None:
         keep, forms = self.keep, self._forms()
         nodes = forms.where("node is not null").groupBy("node", "type", "a", "b").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"), F.first("keys").alias("keys"))
+        # with how many other tokens each token goes
+        tok = nodes.select("type", F.explode(F.array(F.struct(F.col("a").alias("t"), F.col("b").alias("o")), F.struct(F.col("b").alias("t"), F.col("a").alias("o")))).alias("x"))
+        with_ = tok.groupBy("type", "x.t").agg(F.countDistinct("x.o").alias("k"))
+        for c in ("a", "b"):
+            nodes = nodes.join(with_.select("type", F.col("t").alias(c), F.col("k").alias(f"k{c}")), ["type", c])
         nodes = keep.write(nodes, "nodes")
-        k = nodes.select("node", "type", "a", "b", "n", F.explode("keys").alias("key"))
+        k = nodes.select("node", "type", "a", "b", "n", "ka", "kb", F.explode("keys").alias("key"))
         o = k.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "a", "b", "n")])
         # the more frequent spelling leads; each spelling follows the one best leader
-        p = k.join(o, "key").where("n < n2 or (n = n2 and node > node2)").select("type", "node", "a", "b", "n", "node2", "a2", "b2", "n2").distinct()
+        p = k.join(o, "key").where("n < n2 or (n = n2 and node > node2)").select("type", "node", "a", "b", "n", "ka", "kb", "node2", "a2", "b2", "n2").distinct()
         # two edits change the length by two at most; only a shared short form may differ by more
         short = F.col("a").isin(*SHARED) | F.col("b").isin(*SHARED) | F.col("a2").isin(*SHARED) | F.col("b2").isin(*SHARED)
         size = F.length("a") + F.length("b") - F.length("a2") - F.length("b2")
-        # of two well attested spellings neither can follow the other, so they need no comparison
-        p = p.where((short | (F.abs(size) <= 2)) & ((F.col("n") <= 2) | (F.col("n") * 4 <= F.col("n2"))))
-        p = p.withColumn("c", _compare(F.col("type") == "PERSON", "a", "b", "a2", "b2")).where("c.ok")
+        # a well attested spelling follows another only by one edit in a long token that goes with nothing else
+        attested = (F.col("n") > 2) & (F.col("n") * 4 > F.col("n2"))
+        same = lambda c: (F.col(c) == F.col("a2")) | (F.col(c) == F.col("b2"))
+        alone = lambda c: (F.length(c) >= LONG) & (F.col(f"k{c}") == 1)
+        p = p.where((short | (F.abs(size) <= 2)) & (~attested | (same("a") & alone("b")) | (same("b") & alone("a"))))
+        p = p.withColumn("c", _compare(F.col("type") == "PERSON", "a", "b", "a2", "b2")).where(F.col("c.ok") & (~attested | (F.col("c.cost") == 1)))
         w = Window.partitionBy("node").orderBy("c.cost", F.desc("c.jw"), F.desc("n2"), "node2")
         best = p.withColumn("r", F.row_number().over(w)).where("r = 1").select("node", "node2")
         # an entity's own full names are one name
