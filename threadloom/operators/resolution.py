@@ -35,6 +35,16 @@ def surname_attachments(p: DataFrame, doc: str = "article_id") -> DataFrame:
     return person.where("n = 1").join(full, [doc, "last"]).select(F.col("profile_id").alias("short_id"), "full_id")
 
 
+def attach_surnames(p: DataFrame, doc: str = "article_id") -> DataFrame:
+    """p with every attached surname-only profile folded into its full name's: sets and mentions are united."""
+    at = surname_attachments(p, doc)
+    sets = ("surfaces", "norm_surfaces", "mention_ids", "roles", "orgs", "countries")
+    more = p.join(at, F.col("profile_id") == F.col("short_id")).groupBy("full_id").agg(*[F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in sets])
+    rest = p.join(at.select(F.col("short_id").alias("profile_id")), "profile_id", "left_anti").join(more, F.col("profile_id") == F.col("full_id"), "left")
+    united = {c: F.when(F.col("full_id").isNull(), F.col(c)).otherwise(F.sort_array(F.array_union(c, f"more_{c}"))) for c in sets}
+    return rest.withColumns(united).select(*p.columns)
+
+
 def blocks(p: DataFrame) -> DataFrame:
     return p.select("profile_id", F.explode(nm.blocking_keys(F.col("normalized"), F.col("entity_type"))).alias("key"))
 
