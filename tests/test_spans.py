@@ -89,3 +89,11 @@ def test_verb_frames(spark):
     )
     got = {(r["article_id"], r["predicate"], r["subject"], r["object"]): round(r["confidence"], 4) for r in relations.dependency_frames(t).collect()}
     assert got == {("1", "met", s, o): 0.525 for s in (0, 2) for o in (5, 6)} | {("2", "met", 4, 0): 0.75, ("4", "met", 0, 2): 0.75, ("4", "met", 0, 4): 0.65}
+
+
+def test_long_chain_of_conjuncts(spark):
+    from threadloom.operators.relations import dependency_frames
+
+    rows = [("d", 0, "Ana", "PROPN", "nsubj", 1), ("d", 1, "meet", "VERB", "ROOT", 1), ("d", 2, "p2", "PROPN", "dobj", 1)] + [("d", k, f"p{k}", "PROPN", "conj", k - 1) for k in range(3, 40)]
+    got = dependency_frames(spark.createDataFrame(rows, "article_id string, i int, lemma string, pos string, dep string, head int")).collect()
+    assert sorted(r["object"] for r in got) == list(range(2, 40))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom import lexicons as lx
 from threadloom.functions.text import short_hash
+from threadloom.session import StageTables
 
 
 def types_valid(predicate: Column, subject: Column, obj: Column) -> Column:
@@ -104,11 +105,15 @@ def dependency_frames(tokens: DataFrame, doc: str = "article_id") -> DataFrame:
     def children(of: DataFrame, deps, alias):
         return of.join(c.where(F.col("cd").isin(*deps)), (F.col(doc) == F.col("d")) & (F.col("at") == F.col("of"))).select(doc, "i", F.col("ci").alias(alias))
 
-    # the token that each chain of conjuncts hangs on, by doubling: a chain of up to 16 is one coordination
-    up = t.select(F.col(doc).alias("ud"), F.col("i").alias("member"), F.when(F.col("dep") == "conj", F.col("head")).otherwise(F.col("i")).alias("top"))
-    for _ in range(4):
+    # the token that each chain of conjuncts hangs on, by doubling until no pointer changes; 32 rounds reach any int, a ring of heads has no end
+    keep = StageTables(tokens.sparkSession, "conjuncts")
+    up = keep.write(t.select(F.col(doc).alias("ud"), F.col("i").alias("member"), F.when(F.col("dep") == "conj", F.col("head")).otherwise(F.col("i")).alias("top")), "up")
+    for k in range(32):
         nxt = up.select(F.col("ud").alias("vd"), F.col("member").alias("vm"), F.col("top").alias("further"))
-        up = up.join(nxt, (F.col("ud") == F.col("vd")) & (F.col("top") == F.col("vm"))).select("ud", "member", F.col("further").alias("top"))
+        j = keep.write(up.join(nxt, (F.col("ud") == F.col("vd")) & (F.col("top") == F.col("vm"))).select("ud", "member", "top", "further"), f"up-{k}")
+        up = j.select("ud", "member", F.col("further").alias("top"))
+        if j.where("top <> further").isEmpty():
+            break
 
     def conjuncts(args: DataFrame, alias):
         """Arguments with the tokens joined to them."""
