@@ -124,3 +124,9 @@ def test_mix(spark):
 def test_every_problem_has_queries():
     q = registry.queries()
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 10)} <= set(q) and {"p8_packed", "p9_mix"} <= set(q) and set(registry.oracle_sql()) <= set(q)
+
+
+def test_first_copy_without_target(spark):
+    d = spark.createDataFrame([("a", "one two three", None), ("b", "one two three", "other"), ("c", "one two three", "s"), ("d", "four five", "s")], "doc_id string, text string, source string")
+    t = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert {r["doc_id"] for r in mixing.mixed(d, t).collect()} == {"c", "d"}

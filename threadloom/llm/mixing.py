@@ -106,18 +106,18 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, se
     """(doc_id, source, tokens, uses): the texts of the mix and how often each is used.
 
     documents: doc_id, text, source; targets: source, target_share, max_repeats (one row for each source of the mix).
-    A text delivered under several doc_ids is one text, of the least doc_id. Null and empty texts, null sources and
+    A text delivered under several doc_ids is one text, of the least doc_id in a source with a target. Null and empty texts, null sources and
     sources without a target give nothing. Texts of one length are chosen by a seeded hash of their doc_id.
     """
     keep = StageTables(documents.sparkSession, "mix")
     t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r"))
     goal = [(r["source"], float(r["w"] or 0), int(r["r"] or 0)) for r in t.collect()]  # a parameter table: one row for each source of the mix
-    d = documents.select("doc_id", "text", "source").where("doc_id is not null and text is not null and text <> ''")
+    d = documents.select("doc_id", "text", "source").where("doc_id is not null and text is not null and text <> ''").join(t.select("source"), "source", "left_semi")
     # one row for each different text, told by 128 bits of hashes; only ids and hashes are shuffled, then the few repeats go
     h = d.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(3), "text").alias("h2"))
     again = h.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     again = h.join(again, ["h1", "h2"]).where("doc_id <> first").select("doc_id").distinct()
-    n = with_token_counts(d.join(t.select("source"), "source", "left_semi"), "doc_id", "text", ("source",), path)
+    n = with_token_counts(d, "doc_id", "text", ("source",), path)
     n = keep.write(n.join(again.withColumnRenamed("doc_id", "id"), "id", "left_anti").dropDuplicates(["id"]), "lengths")
     counts: dict[str, dict[int, int]] = {}
     rows = 0
