@@ -67,6 +67,16 @@ def test_components(spark):
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("hub", f"x{i}") for i in range(40)] + [(f"r{rng.randint(0, 50)}", f"r{rng.randint(0, 50)}") for _ in range(60)] + [("s", "s"), (None, "q"), ("b", "a"), ("a", "b")]
     assert rows(graph.components(spark.createDataFrame(edges, "a string, b string"), "a", "b")) == brute_components(edges)
     assert graph.components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+    assert rows(graph.components(spark.createDataFrame(edges, "a string, b string").repartition(3), "a", "b", one_task=5)) == brute_components(edges)
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame(edges, "a string, b string").repartition(3), "a", "b", max_rounds=1, one_task=5)
+
+
+def test_group_components(spark):
+    rng = random.Random(8)
+    links = [(f"g{g}", f"g{g}-{rng.randint(0, 30)}", f"g{g}-{rng.randint(0, 30)}") for g in range(9) for _ in range(25)] + [("g0", "g0-1", None), (None, "x", "y")]
+    got = rows(graph.group_components(spark.createDataFrame(links, "g string, a string, b string"), "g", "a", "b"))
+    assert got == brute_components([(a, b) for g, a, b in links if g])
 
 
 def profiles(spark, data):
@@ -97,6 +107,19 @@ def test_context_rank(spark):
     assert resolution.context_rank(p.limit(1), "raw").first()["context"] == 0.5
 
 
+@pytest.mark.parametrize("ties", ["position", "neutral"])
+def test_context_rank_with_more_columns(spark, ties):
+    """Ranks over many partitions and values, with columns beside the ids: as by one sort in Python."""
+    p = spark.range(20_000).select(F.format_string("l%05d", "id").alias("left_id"), F.lit("r").alias("right_id"), (F.xxhash64("id") % 3000).cast("double").alias("raw"), F.col("id").alias("extra"), F.lit(None).cast("string").alias("note"))
+    got = {r["left_id"]: r for r in resolution.context_rank(p, "raw", ties).collect()}
+    order = sorted(p.collect(), key=lambda r: (r["raw"], r["left_id"]))
+    first = {}
+    for k, r in enumerate(order):
+        first.setdefault(r["raw"], k)
+        want = (k if ties == "position" else first[r["raw"]]) / 19_999
+        assert got[r["left_id"]]["context"] == pytest.approx(want) and got[r["left_id"]]["extra"] == r["extra"]
+
+
 def test_profiles_and_bare_surnames(spark):
     m = spark.createDataFrame([("m1", "d", 0, "Narendra Modi", "PERSON", "k1", "narendra modi"), ("m2", "d", 50, "Modi", "PERSON", "k1", "modi"), ("m3", "d", 70, "Putin", "PERSON", None, "putin"), ("m4", "d", 90, "Vladimir Putin", "PERSON", None, "vladimir putin"), ("m5", "d", 99, "Rs", "ORG", None, "rs")], "mention_id string, article_id string, start_char int, text string, label string, coref_cluster_id string, norm string")
     p = resolution.profiles(m)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from threadloom import lexicons as lx
 from threadloom.functions import names as nm
 from threadloom.operators.graph import components
+from threadloom.session import StageTables
 
 
 def profiles(mentions: DataFrame, doc: str = "article_id") -> DataFrame:
@@ -72,26 +73,38 @@ def blocking_report(p: DataFrame, pairs: DataFrame) -> DataFrame:
     return r.select("profiles", "all_pairs", "generated", F.round(F.when(F.col("all_pairs") > 0, 100 * (1 - F.col("generated") / F.col("all_pairs"))).otherwise(0.0), 4).alias("reduction"))
 
 
+def _numbered_in_order(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """df in range partitions with __p, its partition, and __k, its place there; and (__q, rows, __first) per partition.
+
+    The numbered rows are written once: a range exchange that is planned twice may draw other bounds the second time.
+    """
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    s = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    s = s.withColumns({"__p": F.spark_partition_id(), "__k": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    s = StageTables(df.sparkSession, name).write(s, "numbered")
+    return s, s.groupBy(F.col("__p").alias("__q"))
+
+
 def context_rank(pairs: DataFrame, raw: str, ties: str = "position") -> DataFrame:
     """pairs with context: the rank of the raw similarity over the whole batch, 0 to 1.
 
     ties 'position' ranks by (raw, left_id, right_id), as results must match; 'neutral' gives equal values one rank.
     The rank is global: range-sorted partitions are numbered from their counts, so no task holds all pairs.
     """
+    first = Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    sums = {"__first": F.coalesce(F.sum("__n").over(first), F.lit(0)), "__all": F.sum("__n").over(Window.partitionBy())}
     if ties == "neutral":
-        n = pairs.groupBy(raw).agg(F.count("*").alias("__n"))
-        w = Window.orderBy(raw).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each different value
-        n = n.withColumns({"__before": F.coalesce(F.sum("__n").over(w), F.lit(0)), "__all": F.sum("__n").over(Window.partitionBy())})
-        j = pairs.join(n, raw)
-        return j.withColumn("context", F.when(F.col("__all") > 1, F.col("__before") / (F.col("__all") - 1)).otherwise(0.5)).drop("__n", "__before", "__all")
-    parts = max(1, pairs.sparkSession.sparkContext.defaultParallelism)
-    s = pairs.repartitionByRange(parts, raw, "left_id", "right_id").sortWithinPartitions(raw, "left_id", "right_id")
-    s = s.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
-    s = s.withColumn("__k", F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)))
-    n = s.groupBy(F.col("__p").alias("__q")).agg(F.count("*").alias("__n"))
-    n = n.withColumns({"__first": F.coalesce(F.sum("__n").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum("__n").over(Window.partitionBy())})
-    j = s.join(F.broadcast(n), F.col("__p") == F.col("__q"))  # one row for each partition
-    rank = (F.col("__first") + F.col("__k")) / (F.col("__all") - 1)
+        s, by = _numbered_in_order(pairs.groupBy(F.col(raw).alias("__raw")).agg(F.count("*").alias("__m")), ["__raw"], "ranks")
+        n = by.agg(F.sum("__m").alias("__n")).withColumns(sums)
+        inside = Window.partitionBy("__p").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+        s = s.withColumn("__in", F.coalesce(F.sum("__m").over(inside), F.lit(0))).join(F.broadcast(n), F.col("__p") == F.col("__q"))
+        j = pairs.join(s.select("__raw", "__all", (F.col("__first") + F.col("__in")).alias("__before")), F.col(raw).eqNullSafe(F.col("__raw")))
+        rank = F.col("__before") / (F.col("__all") - 1)
+    else:
+        s, by = _numbered_in_order(pairs, [raw, "left_id", "right_id"], "ranks")
+        n = by.agg(F.count("*").alias("__n")).withColumns(sums)
+        j = s.join(F.broadcast(n), F.col("__p") == F.col("__q"))
+        rank = (F.col("__first") + F.col("__k")) / (F.col("__all") - 1)
     return j.withColumn("context", F.when(F.col("__all") > 1, rank).otherwise(0.5)).select(*pairs.columns, "context")
 
 
