@@ -1,11 +1,13 @@
 """Problem 2: the site's own furniture around and inside the story of a web page.
 
-Method: site template removal. A page's lines are its elements: a line is a subtree of its own, a line of items
-between separators has the items as children, a line 'label: value' has the label as a child, and a recurring line
-that is usually followed by headlines opens a list whose items belong to it. Every subtree is hashed with the
-page's headline, the site's name and numbers left open; the hashes are counted per host over different pages, and
-subtrees that recur across many pages of the host are deleted. What is left on a page that has its story is the
-headline, the running text, its subheads and its lists.
+Method: site template removal. A page's lines are its elements: a recurring line that is usually followed by
+headlines opens a list subtree, which reaches to the next recurring line and holds the lines between as its items; a
+line is a subtree of its own; a line of items between separators has the items as children, a line 'label: value' the
+label. Every subtree is hashed with the page's headline, the site's name and numbers left open; the hashes are counted
+per host over different pages, and subtrees that recur across many pages of the host are deleted, whatever hangs on
+them included. Nothing else is deleted from a page that has a headline of its own; a page without one (a section
+front) is template as a whole. One check follows: a sentence inside a list subtree that names whom the story names is
+the story going on.
 
 Only hashes are shuffled for the counts; a page's text moves with the short list of its own recurring hashes.
 """
@@ -118,62 +120,47 @@ class Page:
     def names(self, i: int) -> set[str]:
         return {w for w in _WORD.findall(self.text[i]) if w[:1].isupper() and len(w) > 3 and w not in self.common}
 
-    def story(self, template: set[int], opens: set[int]) -> set[int]:
-        """Places of the lines that are the headline, running text, subheads or lists of the story."""
+    def furniture(self, template: set[int], opens: set[int]) -> set[int]:
+        """Places of the lines that belong to recurring subtrees, and of all lines if the page has no headline of its own."""
         heads = {i for i in self.heads if self.sigs[i][0][1] not in template}
         if not heads:
-            return set()
-        kind = {}
+            return set(self.full)
+        own: set[str] = set().union(*(self.names(i) for i in heads))
+        gone: set[int] = set()
+        listed, other, held = False, set(), []
         for i in self.full:
-            sig, t = self.sigs[i], self.text[i]
+            sig = self.sigs[i]
             line = sig[0][1]
             children = [h for k, h in sig if k == "child"]
-            label = [h for k, h in sig if k == "label"]
-            ends = bool(_END.search(t))
             if i in heads:
-                kind[i] = "head"
+                listed = False
             elif line in template:
-                kind[i] = "open" if line in opens else "template"
-            elif len(children) > 1 and sum(h in template for h in children) * 2 >= len(children):
-                kind[i] = "template"
-            elif label and label[0] in template and not (ends and len(t.split()) > 14):
-                kind[i] = "template"
-            else:
-                kind[i] = "text" if ends and len(t.split()) >= 4 else "short"
-        first = min(heads)
-        story, listed, own, other = set(), False, set(), set()
-        for h in heads:
-            own |= self.names(h)
-        pending: list[int] = []
-        for i in self.full:
-            if i < first:
-                continue
-            k = kind[i]
-            if k == "head":
-                if i == first:
-                    story.add(i)
-                continue
-            if k == "open":
-                listed, other, pending = True, set(), []
-            elif k == "template":
-                pass
-            elif k == "text":
-                n = self.names(i)
-                mine, theirs = len(n & (own - other)), len(n & (other - own))
-                if listed and (theirs >= mine or not mine) and (theirs or not n & own):
-                    continue
+                gone.add(i)
+                listed, other, held = line in opens, set(), []
+            elif (len(children) > 1 and sum(h in template for h in children) * 2 >= len(children)) or any(k == "label" and h in template for k, h in sig):
+                gone.add(i)
+            elif not listed:
+                own |= self.names(i)
+            elif self.resumes(i, own, other):
+                # the story goes on after a list inside it; the unpunctuated line before it is its subhead
                 listed = False
-                # a subhead is the one unpunctuated line before a paragraph, and names nobody else than the story does
-                story.update(j for j in pending if not self.names(j) - own - n or self.names(j) & (own | n))
-                pending = []
-                story.add(i)
-                own |= n
-            elif listed:
-                other |= self.names(i)
-                pending = [i] if not _BULLET.match(self.text[i]) and self.names(i) and not self.names(i) - own else []
+                own |= self.names(i)
+                gone.difference_update(j for j in held if not self.names(j) - own)
             else:
-                pending = [] if _BULLET.match(self.text[i]) else [i]
-        return story
+                gone.add(i)
+                if not self.sentence(i):
+                    other |= self.names(i)
+                    held = [i] if not _BULLET.match(self.text[i]) and self.names(i) and not self.names(i) - own else []
+        return gone
+
+    def sentence(self, i: int) -> bool:
+        return bool(_END.search(self.text[i])) and len(self.text[i].split()) >= 4
+
+    def resumes(self, i: int, own: set[str], other: set[str]) -> bool:
+        """The exact check of a line in a list subtree: a sentence that names whom the story names, and not the list."""
+        n = self.names(i)
+        mine, theirs = len(n & (own - other)), len(n & (other - own))
+        return self.sentence(i) and not ((theirs >= mine or not mine) and (theirs or not n & own))
 
 
 _ARGS = ("body", "title", "source", "url")
@@ -196,8 +183,8 @@ def _furniture(common: frozenset):
             rows = []
             for page, template, opens, *args in zip(pdf["id"], pdf["template"], pdf["opens"], *(pdf[a] for a in _ARGS)):
                 p = Page(*args, common)
-                keep = p.story(set() if template is None else set(template), set() if opens is None else set(opens))
-                rows += [(page, i) for i in p.full if i not in keep]
+                gone = p.furniture(set() if template is None else set(template), set() if opens is None else set(opens))
+                rows += [(page, i) for i in sorted(gone)]
             yield pd.DataFrame(rows, columns=["id", "line_no"]).astype({"line_no": "int32"})
 
     return run
@@ -226,10 +213,11 @@ def pages_of(articles: DataFrame, fetch_results: DataFrame) -> DataFrame:
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(id, line_no) of the non-blank lines that are neither headline nor running text, subhead or list of the story.
+    """(id, line_no) of the non-blank lines that lie in recurring subtrees of the page's host.
 
     pages: id, body, title, source, url, host. A page without a headline of its own (a section front, or a story
-    whose title and address name no line) has no story, so all its lines are given. Null titles, sources and urls
+    whose title and address name no line) has no story, so all its lines are given. A line that recurs nowhere and
+    hangs on no recurring list stays, so pages of a host with very few pages keep more. Null titles, sources and urls
     are allowed; a blank body gives no rows. A host's number of pages has no limit: hashes are counted with
     map-side combining.
     """
