@@ -1,9 +1,9 @@
 """Problem 10: texts cut off by a field limit or in mid-transfer.
 
 Method: the length of every text is recomputed as it would be under other encodings, entity escaping, JSON
-escaping and newline conversion. Grouped by source, a hidden storage limit shows as a narrow spike of one of these
-lengths among texts with an unfinished ending; a limit counted in whole words leaves a spike a word wide. Then the
-endings are inspected, with the limits as evidence where an ending alone could be either.
+escaping and newline conversion. Grouped by source, a hidden storage limit shows as a narrow heap of one of these
+lengths; a limit counted in whole words leaves a heap a word wide. Then the endings are inspected: at a limit a text is
+cut unless its ending proves it whole, elsewhere (a transfer that broke off leaves no limit) only unless proved cut.
 
 All of it is built-in expressions; what is shuffled is counts of lengths, never a text.
 """
@@ -19,8 +19,10 @@ MORE = "more|read more|continued|mehr|weiter|suite|lire la suite|más|leer más"
 ABBREVIATIONS = "No|Nr|Mr|Mrs|Ms|Dr|Prof|St|Hon|Gov|Sen|Gen|Rep|Sr|Sra|Mme|vs|bzw|núm|approx"
 #: A limit that leaves whole words shortens a text by less than this.
 WORD_SLACK = 24
-#: A spike holds at least so many texts and this share of those within NEIGHBOURHOOD of it.
-MIN_SPIKE, SPIKE_SHARE, NEIGHBOURHOOD = 5, 0.3, 400
+#: A heap of lengths holds at least so many texts, and so many times what those within NEIGHBOURHOOD of it let expect.
+MIN_SPIKE, TIMES_EXPECTED, NEIGHBOURHOOD = 5, 6, 400
+#: A heap is a limit if this share of its texts ends unfinished.
+UNFINISHED = 0.5
 #: A closing line's form is known from so many texts that lie at no limit.
 MIN_SIGN_OFFS = 5
 
@@ -89,39 +91,47 @@ def _endings(documents: DataFrame, id_col: str, text_col: str, source_col: str)
 
 
 def hidden_limits(endings: DataFrame) -> DataFrame:
-    """(src, mark, measure, cap, texts): for each source and kind of omission mark the length at which its
-    unfinished texts heap up, by the measure that shows it most sharply."""
-    u = endings.where("open and (not sign_off or mark = 'dots')")
-    u = u.select("src", "mark", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("v")) for k, v in lengths(F.col("end")).items()])).alias("m"))
-    h = u.groupBy("src", "mark", "m.measure", "m.v").agg(F.count("*").alias("n"))
+    """(src, mark, measure, cap, texts, exact): for each source and kind of omission mark every length at which its texts
+    heap up, by every measure that shows it; exact counts the texts of just that length.
+
+    The lengths of all texts are counted, complete ones too. A heap is a window of lengths with more texts than its
+    neighbourhood lets expect; it is a limit if most of its texts then prove unfinished. A source may have several.
+    """
+    u = endings.select("src", "mark", (F.col("open") & (~F.col("sign_off") | (F.col("mark") == "dots"))).cast("int").alias("cut"), F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("v")) for k, v in lengths(F.col("end")).items()])).alias("m"))
+    h = u.groupBy("src", "mark", "m.measure", "m.v").agg(F.count("*").alias("n"), F.sum("cut").alias("cut"))
     w = Window.partitionBy("src", "mark", "measure").orderBy("v")
-    h = h.withColumns({"spike": F.sum("n").over(w.rangeBetween(1 - WORD_SLACK, 0)), "near": F.sum("n").over(w.rangeBetween(-NEIGHBOURHOOD, NEIGHBOURHOOD))})
-    h = h.where((F.col("spike") >= MIN_SPIKE) & (F.col("spike") >= SPIKE_SHARE * F.col("near")))
-    best = F.max_by(F.struct("measure", F.col("v").alias("cap"), F.col("spike").alias("texts")), F.struct("spike", "n", F.negative("v"), "measure"))
-    return h.groupBy("src", "mark").agg(best.alias("b")).select("src", "mark", "b.*")
+    heap = w.rangeBetween(1 - WORD_SLACK, 0)
+    h = h.withColumns({"texts": F.sum("n").over(heap), "open": F.sum("cut").over(heap), "near": F.sum("n").over(w.rangeBetween(-NEIGHBOURHOOD, NEIGHBOURHOOD))})
+    expected = F.col("near") * WORD_SLACK / (2 * NEIGHBOURHOOD + 1)
+    h = h.where((F.col("texts") >= MIN_SPIKE) & (F.col("texts") >= TIMES_EXPECTED * expected) & (F.col("open") >= UNFINISHED * F.col("texts")))
+    # the fullest window stands for those that overlap it, its end at the length that most texts have
+    best = F.max(F.struct("texts", "n", F.negative("v").alias("back"))).over(w.rangeBetween(1 - WORD_SLACK, WORD_SLACK - 1))
+    h = h.withColumn("best", best).where(F.col("best.back") == F.negative("v"))
+    return h.select("src", "mark", "measure", F.col("v").alias("cap"), "texts", F.col("n").alias("exact"))
 
 
 def truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, src, cut, at_limit, measure, cap): every row with a text, and whether it stops before its own end.
 
     Null, empty and blank texts and rows with a null id are left out; a null source is a source of its own;
-    repeated rows are judged alike; other columns are ignored. A text is cut if it ends in mid-sentence or
-    mid-word, with or without a mark for the omission. A closing line (signature, address, link, label with a
-    value, bracketed note, ornament) is an end of its own, and so is a short last line in dots; at a limit of the
-    source such a line must have a form known from texts at no limit.
+    repeated rows are judged alike; other columns are ignored. First the lengths tell whether a text lies at a limit of
+    its source; then its ending is inspected. At a limit a text is cut unless it ends its sentence, or in a closing
+    line (signature, address, link, label with a value, bracketed note, ornament) of a form that texts at no limit
+    have. Elsewhere only an ending in mid-sentence or mid-word that is no closing line at all shows a cut.
     """
     e = _endings(documents, id_col, text_col, source_col)
-    limits = hidden_limits(e)
-    measure = F.create_map(*[x for k, v in lengths(F.col("end")).items() for x in (F.lit(k), v.cast("int"))])
-    l = limits.select(F.col("src").alias("l_src"), F.col("mark").alias("l_mark"), "measure", "cap")
-    j = e.join(l, F.col("src").eqNullSafe(F.col("l_src")) & (F.col("mark") == F.col("l_mark")), "left")
-    j = j.withColumn("len", F.element_at(measure, F.col("measure")))
-    at = F.coalesce(F.col("len").between(F.col("cap") - WORD_SLACK + 1, F.col("cap")), F.lit(False))
-    j = j.select("id", "src", "mark", "open", "sign_off", "form", "measure", "cap", at.alias("at_limit"))
+    one = F.struct(F.negative(F.col("texts") + F.col("exact")).alias("rank"), "measure", "cap")
+    l = hidden_limits(e).groupBy(F.col("src").alias("l_src"), F.col("mark").alias("l_mark")).agg(F.sort_array(F.collect_list(one)).alias("limits"))
+    j = e.withColumn("lens", F.create_map(*[x for k, v in lengths(F.col("end")).items() for x in (F.lit(k), v.cast("int"))]))
+    j = j.select("id", "src", "mark", "open", "sign_off", "form", "lens").join(l, F.col("src").eqNullSafe(F.col("l_src")) & (F.col("mark") == F.col("l_mark")), "left")
+    # all limits of a source are tried, the sharpest first; there are at most as many as lengths of texts
+    hit = F.get(F.filter("limits", lambda x: F.element_at(F.col("lens"), x["measure"]).between(x["cap"] - WORD_SLACK + 1, x["cap"])), F.lit(0))
+    j = j.withColumn("hit", hit)
+    j = j.select("id", "src", "mark", "open", "sign_off", "form", F.col("hit.measure").alias("measure"), F.col("hit.cap").alias("cap"), F.col("hit").isNotNull().alias("at_limit"))
     known = j.where("sign_off and not at_limit").groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SIGN_OFFS).select("form", F.lit(True).alias("known"))
     j = j.join(known, "form", "left")
-    ends_itself = F.col("sign_off") & (~F.col("at_limit") | F.coalesce("known", F.lit(False)))
-    return j.select("id", "src", (F.col("open") & ~F.coalesce(ends_itself, F.lit(False))).alias("cut"), "at_limit", "measure", "cap")
+    cut = F.when(F.col("at_limit"), F.col("open") & ~(F.col("sign_off") & F.coalesce("known", F.lit(False)))).otherwise(F.col("open") & ~F.col("sign_off"))
+    return j.select("id", "src", cut.alias("cut"), "at_limit", "measure", "cap")
 
 
 def _documents(spark, sf_dir):
