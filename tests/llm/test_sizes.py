@@ -98,8 +98,9 @@ def test_knapsack_equals_brute_force():
         b = rng.randint(0, 150)
         got = mixing.bounded_knapsack(counts, b)
         assert sum(s * n for s, n in got.items()) == brute_fit(counts, b) and all(0 < n <= counts[s] for s, n in got.items())
-        fit = mixing.fit(counts, b, limit=60)
-        assert sum(s * n for s, n in fit.items()) <= max(b, 0) and all(n <= counts[s] for s, n in fit.items())
+        fit = mixing.fit(counts, b, window=8)
+        assert sum(s * n for s, n in fit.items()) == brute_fit(counts, b) and all(n <= counts[s] for s, n in fit.items())
+    assert sum(s * n for s, n in mixing.fit({77475: 3, 32791: 1, 86586: 4, 92626: 2}, 346_344).items()) == 346_344
     counts = {k: 50 for k in range(3, 200)}
     assert sum(s * n for s, n in mixing.fit(counts, 400_000).items()) == 400_000
 

@@ -2,9 +2,9 @@
 
 Method: subset-sum budget fitting. Texts are counted by source and exact token length. The largest total is taken
 at which every source can give its share; a source's budget is then so many full rounds over its texts and a rest
-below one round. The rest is fitted by counts: the same part of every length first, single texts until little is
-left, and a bounded knapsack over the counts of what remains hits the last budget exactly wherever any subset does.
-Texts are then chosen by a seeded order within each length.
+below one round. The rest is fitted by counts: the same part of every length first, then a bounded knapsack over the
+counts of what remains, in a window that grows while the budget is missed, so the budget is hit wherever any subset
+hits it. Texts are then chosen by a seeded order within each length.
 """
 
 from __future__ import annotations
@@ -21,35 +21,41 @@ from pyspark.sql.window import Window
 from threadloom.llm.tokens import TOKENIZER, ranked, with_token_counts
 from threadloom.session import StageTables
 
-#: The knapsack's budget at most; its time and memory grow with it, not with the corpus.
-KNAPSACK = 1 << 16
+#: Tokens of the knapsack's first window; it grows only while the budget is missed.
+WINDOW = 1 << 16
 
 
-def bounded_knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length, at most counts, so that their sum is as close below budget as any choice gets."""
-    if budget <= 0:
+def bounded_knapsack(counts: dict[int, int], goal: int, above: bool = False) -> dict[int, int]:
+    """How many of each length, at most counts, so that their sum is as close below goal as any choice gets, or above."""
+    total = sum(s * n for s, n in counts.items())
+    if goal <= 0:
         return {}
-    reach = np.zeros(budget + 1, bool)
+    if total <= goal:
+        return {s: n for s, n in counts.items() if n}
+    size = min(total, goal + max(counts)) if above else goal
+    reach = np.zeros(size + 1, bool)
     reach[0] = True
-    by = np.full(budget + 1, -1, np.int64)
+    by = np.full(size + 1, -1, np.int32)
     parts: list[tuple[int, int]] = []
     for length in sorted(counts, reverse=True):
-        n = min(counts[length], budget // length) if length else 0
+        n = min(counts[length], size // length) if length else 0
         k = 1
         while n > 0:
             k = min(k, n)
             n -= k
             w = k * length
             new = np.zeros_like(reach)
-            new[w:] = reach[: budget + 1 - w]
+            new[w:] = reach[: size + 1 - w]
             new &= ~reach
             by[new] = len(parts)
             reach |= new
             parts.append((length, k))
             k *= 2
-        if reach[budget]:
+        if reach[goal]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    at = goal + int(np.flatnonzero(reach[goal:])[0]) if above else int(np.flatnonzero(reach)[-1])
+    if reach[goal]:
+        at = goal
     out: Counter = Counter()
     while at:
         length, k = parts[by[at]]
@@ -58,28 +64,52 @@ def bounded_knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     return dict(out)
 
 
-def fit(counts: dict[int, int], budget: int, seed: int = 0, limit: int = KNAPSACK) -> dict[int, int]:
-    """How many texts of each length, so that the sum comes as near below the budget as the counts allow."""
+def fit(counts: dict[int, int], budget: int, seed: int = 0, window: int = WINDOW) -> dict[int, int]:
+    """How many texts of each length, so that the sum comes as near below the budget as any choice of texts does.
+
+    The same part of every length is taken first and the knapsack fills a window that is left; if it misses the budget,
+    texts are given back and the window grows fourfold, at last to the whole budget, so the result is exact. Lengths with
+    a common divisor are divided by it; above half of all, what to leave out is fitted. Memory is five bytes a token
+    of the window.
+    """
+    counts = {s: n for s, n in counts.items() if s > 0 and n > 0}
     total = sum(s * n for s, n in counts.items())
     if budget >= total:
-        return dict(counts)
+        return counts
     if budget <= 0:
         return {}
-    share = max(0.0, (budget - limit / 2) / total)
-    taken = Counter({s: math.floor(n * share) for s, n in counts.items()})
-    left = budget - sum(s * n for s, n in taken.items())
+    g = math.gcd(*counts)
+    if g > 1:
+        return {s * g: n for s, n in fit({s // g: n for s, n in counts.items()}, budget // g, seed, window).items()}
+    above = 2 * budget > total
+    goal = total - budget if above else budget
     order = sorted(counts)
     random.Random(seed).shuffle(order)
-    moved = True
-    while left > limit and moved:
-        moved = False
-        for s in order:
-            if left > limit and taken[s] < counts[s] and s <= left:
-                taken[s] += 1
-                left -= s
-                moved = True
-    more = bounded_knapsack({s: counts[s] - taken[s] for s in counts if taken[s] < counts[s] and s <= left}, min(left, limit))
-    return {s: taken[s] + more.get(s, 0) for s in counts if taken[s] + more.get(s, 0)}
+    best: dict[int, int] = {}
+    least = None
+    while least != 0:
+        share = max(0.0, (goal - window / 2) / total)
+        taken = Counter({s: math.floor(n * share) for s, n in counts.items()})
+        left = goal - sum(s * n for s, n in taken.items())
+        moved = True
+        while left > window and moved and share:
+            moved = False
+            for s in order:
+                if left > window and taken[s] < counts[s] and s <= left:
+                    taken[s] += 1
+                    left -= s
+                    moved = True
+        more = bounded_knapsack({s: counts[s] - taken[s] for s in counts if taken[s] < counts[s] and (above or s <= left)}, left, above)
+        chosen = {s: taken[s] + more.get(s, 0) for s in counts}
+        miss = abs(goal - sum(s * n for s, n in chosen.items()))
+        if least is None or miss < least:
+            best, least = chosen, miss
+        if not share:  # the window held the whole budget
+            break
+        window *= 4
+    if above:
+        best = {s: counts[s] - best[s] for s in counts}
+    return {s: n for s, n in best.items() if n}
 
 
 def mix_plan(counts: dict[str, dict[int, int]], targets: list[tuple[str, float, int]], total: int | None = None, seed: int = 0):
@@ -150,5 +180,16 @@ def p9_shares(spark, sf_dir):
     return r.select("source", "target_share", "max_repeats", "used_tokens", "texts", "most_uses", F.round(F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"))
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def p9_kept(spark, sf_dir):
+    """Whether each source of the mix keeps its share, its repeats and the texts' tokens."""
+    d, t = _tables(spark, sf_dir)
+    m = mixed(d, t).groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"), F.max("uses").alias("most"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+    m = m.withColumn("everything", F.sum("used").over(Window.partitionBy()))  # over one row for each source of the mix
+    r = t.join(m, "source", "left")
+    return r.select(
+        "source", (F.abs(F.col("used") / F.col("everything") - F.col("target_share")) < 0.002).alias("share_kept"), (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("n") == F.col("ids")).alias("one_row_a_text")
+    )
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept": p9_kept}
+SQL = {"p9_kept": "SELECT source, TRUE AS share_kept, TRUE AS repeats_kept, TRUE AS one_row_a_text FROM mix_targets"}
