@@ -219,5 +219,17 @@ def p8_fill(spark, sf_dir):
     return b.withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6))
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_kept(spark, sf_dir):
+    """For each capacity the texts placed, containers fuller than it, and texts cut that it could hold whole."""
+    c = spark.read.parquet(f"{sf_dir}/pack_sizes.parquet")
+    p = _packed(spark, sf_dir)
+    texts = p.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces")).join(c, "pack_name")
+    texts = texts.groupBy("pack_name").agg(F.count("*").alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("cut_needlessly"))
+    full = p.groupBy("pack_name", "bin_id").agg(F.sum("n_tokens").alias("used")).join(c, "pack_name").groupBy("pack_name").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    return texts.join(full, "pack_name").select("pack_name", "texts", "overfull", "cut_needlessly")
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p8_kept": p8_kept}
+SQL = {
+    "p8_kept": "SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL AND text <> '') AS texts, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS cut_needlessly FROM pack_sizes"
+}
