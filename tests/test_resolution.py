@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import names as nm
-from threadloom.operators import evaluate, graph, ingest, lookup, resolution, store
+from threadloom.operators import blocks, evaluate, graph, ingest, lookup, resolution, store
 from threadloom.sources import jsonl
 
 
@@ -79,6 +79,16 @@ def test_group_components(spark):
     assert got == brute_components([(a, b) for g, a, b in links if g])
 
 
+def test_pairs_within_blocks_cut_into_cells(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "a", "b", None]), f"r{i}", i) for i in range(60)]
+    df = spark.createDataFrame(data, "key string, id string, n int")
+    want = sorted((k, i, j) for k, i, _ in data for k2, j, _ in data if k is not None and k == k2 and i != j)
+    for cell in (1000, 7, 1):
+        assert rows(blocks.pairs_within(df, "key", "id", cell=cell), "key", "id", "id2") == want
+    assert blocks.pairs_within(df.limit(0), "key", "id").count() == 0
+
+
 def profiles(spark, data):
     return spark.createDataFrame([(i, t, n, [n], r, [], c, "2024-10-22") for i, t, n, r, c in data], "profile_id string, entity_type string, normalized string, norm_surfaces array<string>, roles array<string>, orgs array<string>, countries array<string>, published_at string").withColumn("published_at", F.col("published_at").cast("timestamp"))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom import lexicons as lx
 from threadloom.functions import names as nm
+from threadloom.operators.blocks import pairs_within
 from threadloom.operators.graph import components
 from threadloom.session import StageTables
 
@@ -57,12 +58,12 @@ def oversized_blocks(b: DataFrame, size: int = 200, top: int = 5) -> DataFrame:
 
 def candidate_pairs(b: DataFrame, max_block: int | None = None) -> DataFrame:
     """(left_id, right_id), left_id < right_id, of profiles that share a key; blocks above max_block are left to their
-    members' finer keys if a maximum is given."""
+    members' finer keys if a maximum is given. Large blocks are paired in cells, so no task gets a whole one."""
     b = b.distinct()
     if max_block:
         b = b.join(b.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") <= max_block).select("key"), "key")
-    o = b.select("key", F.col("profile_id").alias("right_id"))
-    return b.join(o, "key").where("profile_id < right_id").select(F.col("profile_id").alias("left_id"), "right_id").distinct()
+    p = pairs_within(b.select("key", "profile_id"), "key", "profile_id")
+    return p.where("profile_id < profile_id2").select(F.col("profile_id").alias("left_id"), F.col("profile_id2").alias("right_id")).distinct()
 
 
 def blocking_report(p: DataFrame, pairs: DataFrame) -> DataFrame:
