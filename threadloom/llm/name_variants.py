@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from threadloom.llm.components import connected_components
+from threadloom.operators.blocks import pairs_within
 from threadloom.session import StageTables
 
 # Forms of one given name; the first stands for all.
@@ -62,8 +63,9 @@ SHORT = dict(
     "svcs:services svc:services tech:technology mfg:manufacturing mgmt:management ind:industries inds:industries univ:university dept:department govt:government comm:commission cncl:council ctr:center arpt:airport apt:airport hlth:health wtr:water stl:steel fds:foods lns:lines rl:rail".split()
 )
 CODES = {c: d for d, cs in enumerate(("bfpvw", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
-#: A word is part of many firms' names, not a name of its own, if this share of the distinct names has it; so at most 10 / share words are.
-GENERIC_SHARE = 0.004
+#: A word is part of many firms' names, not a name of its own, if it stands behind this share of the different first words; so at most
+#: the words of a name / share are, and at least so many first words.
+GENERIC_SHARE, MIN_FIRSTS = 0.01, 4
 #: Letters from which one edit in a token that goes with one other token only is a misspelling, however often it is written.
 LONG = 7
 
@@ -321,12 +323,11 @@ class NameClusters:
         n = self.mentions.groupBy("type", "text").agg(F.count("*").alias("n"))
         n = n.unionByName(self.names_of.groupBy("type", "text").agg(F.count("*").alias("n")))
         n = self.keep.write(n.groupBy("type", "text").agg(F.sum("n").alias("n")), "texts")
-        words = n.where("type = 'ORG'").mapInPandas(_org_words, "word string")
-        n_org = n.where("type = 'ORG'").count()
-        counted = words.groupBy("word").agg(F.count("*").alias("names"))
-        generic = frozenset(r["word"] for r in counted.where(F.col("names") >= max(4, GENERIC_SHARE * n_org)).collect() if n_org)
-        if n_org < 2000:  # in a small corpus a firm's own name may reach the share; words of many firms are then those in the table of short forms
-            generic = frozenset(w for w in generic if w in set(SHORT.values()))
+        # a word belongs to firms' kinds if it stands behind the first words of many firms; spellings of one first word count once
+        words = self.keep.write(n.where("type = 'ORG'").mapInPandas(_org_words, "word string, first string"), "org_words")
+        firsts = words.select("first").distinct().count()
+        counted = words.groupBy("word").agg(F.countDistinct("first").alias("k")).where(F.col("k") >= max(MIN_FIRSTS, GENERIC_SHARE * firsts))
+        generic = frozenset(SHORT.values()) | {r["word"] for r in counted.select("word").collect()}  # at most words a name / GENERIC_SHARE
         return self.keep.write(n.mapInPandas(_parse_forms(generic), _SCHEMA), "forms")
 
     def resolve(self) -> None:
@@ -338,19 +339,22 @@ class NameClusters:
         for c in ("a", "b"):
             nodes = nodes.join(with_.select("type", F.col("t").alias(c), F.col("k").alias(f"k{c}")), ["type", c])
         nodes = keep.write(nodes, "nodes")
-        k = nodes.select("node", "type", "a", "b", "n", "ka", "kb", F.explode("keys").alias("key"))
-        o = k.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "a", "b", "n")])
+        k = nodes.select("type", "node", "a", "b", "n", "ka", "kb", F.explode("keys").alias("key"))
         # the more frequent spelling leads; each spelling follows the one best leader
-        p = k.join(o, "key").where("n < n2 or (n = n2 and node > node2)").select("type", "node", "a", "b", "n", "ka", "kb", "node2", "a2", "b2", "n2").distinct()
-        # two edits change the length by two at most; only a shared short form may differ by more
+        p = pairs_within(k, "key", "node").where("n < n2 or (n = n2 and node > node2)").drop("key", "type2").distinct()
+        # two edits of neighbours or letters are four in Levenshtein's count at most; only a shared short form may differ by more
         short = F.col("a").isin(*SHARED) | F.col("b").isin(*SHARED) | F.col("a2").isin(*SHARED) | F.col("b2").isin(*SHARED)
-        size = F.length("a") + F.length("b") - F.length("a2") - F.length("b2")
-        # a well attested spelling follows another only by one edit in a long token that goes with nothing else
+        d = lambda x, y: F.levenshtein(x, y)
+        straight, crossed = d("a", "a2") + d("b", "b2"), d("a", "b2") + d("b", "a2")
+        near = F.when(F.col("type") == "PERSON", short | (F.least(straight, crossed) <= 4)).otherwise((F.col("b") == F.col("b2")) & (d("a", "a2") <= 4))
+        p = p.where(near).withColumn("c", _compare(F.col("type") == "PERSON", "a", "b", "a2", "b2")).where("c.ok")
+        # a spelling written nearly as often as its leader follows it only by one edit in a token that is rare beside the
+        # leader's (it goes with few other tokens), or that is long and goes with nothing else
         attested = (F.col("n") > 2) & (F.col("n") * 4 > F.col("n2"))
-        same = lambda c: (F.col(c) == F.col("a2")) | (F.col(c) == F.col("b2"))
-        alone = lambda c: (F.length(c) >= LONG) & (F.col(f"k{c}") == 1)
-        p = p.where((short | (F.abs(size) <= 2)) & (~attested | (same("a") & alone("b")) | (same("b") & alone("a"))))
-        p = p.withColumn("c", _compare(F.col("type") == "PERSON", "a", "b", "a2", "b2")).where(F.col("c.ok") & (~attested | (F.col("c.cost") == 1)))
+        rare = lambda c, o: (F.col(f"k{c}") * 4 <= F.col(f"k{o}2")) | ((F.length(c) >= LONG) & (F.col(f"k{c}") == 1))
+        one = lambda c, o, e, f: (F.col(c) == F.col(f"{o}2")) & rare(e, f)
+        apart = one("a", "a", "b", "b") | one("a", "b", "b", "a") | one("b", "b", "a", "a") | one("b", "a", "a", "b")
+        p = p.where(~attested | ((F.col("c.cost") == 1) & apart))
         w = Window.partitionBy("node").orderBy("c.cost", F.desc("c.jw"), F.desc("n2"), "node2")
         best = p.withColumn("r", F.row_number().over(w)).where("r = 1").select("node", "node2")
         # an entity's own full names are one name
@@ -377,9 +381,8 @@ class NameClusters:
         exact = p.join(o, fits((F.col("p.type") == F.col("o.type")) & (F.col("p.name") == F.col("o.name")))).select("p.type", "p.text", "o.cluster").distinct()
         exact = keep.write(exact, "exact")
         rest = parts.join(exact.select("type", "text").distinct(), ["type", "text"], "left_anti")
-        variants = F.udf(lambda x: sorted(_deletions(skeleton(x))), "array<string>")
-        rest = rest.withColumn("v", F.explode(variants("name"))).alias("p")
-        near = offers.withColumn("v", F.explode(variants("name"))).alias("o")
+        rest = rest.withColumn("v", F.explode(_surname_keys("name"))).alias("p")
+        near = offers.withColumn("v", F.explode(_surname_keys("name"))).alias("o")
         fuzzy = rest.join(near, fits((F.col("p.type") == F.col("o.type")) & (F.col("p.v") == F.col("o.v")))).select("p.type", "p.text", F.col("p.name").alias("a"), F.col("o.name").alias("a2"), "o.cluster").distinct()
         fuzzy = fuzzy.withColumn("c", _compare(F.lit(False), "a", F.lit(""), "a2", F.lit(""))).where("c.ok and c.cost <= 1")
         w = Window.partitionBy("type", "text")
@@ -397,16 +400,25 @@ class NameClusters:
         # mentions: by their text, else by the one fitting cluster that has a sure mention in the same article
         sure = self.mentions.join(self.sure, ["type", "text"]).select("mention_id", "article_id", "type", "text", "cluster")
         self.sure_mentions = sure
-        there = sure.select("article_id", "cluster").distinct()
-        open_ = self.mentions.join(self.fit, ["type", "text"]).join(there, ["article_id", "cluster"])
+        # an article's few clusters first, then the texts that fit them: a surname of very many mentions and clusters never fans out
+        there = sure.select("article_id", "cluster").distinct().join(self.fit, "cluster")
+        open_ = self.mentions.join(there, ["article_id", "type", "text"])
         open_ = open_.groupBy("mention_id", "text").agg(F.min("cluster").alias("cluster"), F.count("*").alias("k")).where("k = 1")
         self.mention_cluster = sure.select("mention_id", "text", "cluster").unionByName(open_.select("mention_id", "text", "cluster"))
 
 
 def _org_words(batches):
     for pdf in batches:
-        words = [w for t in pdf["text"] for w in set(tokens_of_org(t))]
-        yield pd.DataFrame({"word": words})
+        rows = []
+        for t in pdf["text"]:
+            w = tokens_of_org(t)
+            rows += [(x, skeleton(w[0])) for x in set(w[1:])]
+        yield pd.DataFrame(rows, columns=["word", "first"])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _surname_keys(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: sorted(_deletions(skeleton(x))))
 
 
 def linked_names(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
