@@ -1,12 +1,10 @@
 """Problem 4: HTML, Markdown, wiki and LaTeX markup left in documents.
 
-Method: the grammar of a document's language reads the whole text, counts and converts exactly: headings, list items,
-code blocks and formulas are kept, everything else of the markup goes.
-
-A recurrent block labeller stands beside them and gives no row: a document is a sequence of leaf blocks (its lines
-outside and inside open containers); each block has a vector of its tag path and a vector of its hashed words and
-signs; a bidirectional LSTM written in numpy reads the whole sequence and labels every block. A block has one label,
-so two formulas in a line, or a formula in a list item, can't be counted from it; the README has the figures.
+Method: a recurrent block labeller. A document is a sequence of leaf blocks (lines, cut again where a tag, a command or
+a possible formula begins); each leaf has a vector of its tag path, of its hashed words and signs, and of its shape; a
+bidirectional LSTM written in numpy reads the whole sequence and labels every leaf with the context of the whole
+document. An element is counted where the labeller lets it begin. The grammars convert the leaves that it labels, and
+an exact check follows: a labelled document without any sign of the four languages in its labelled leaves has no markup.
 
 The weights beside this file are made by markup_train.py from documents it writes itself.
 """
@@ -24,17 +22,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELS = ("plain", "inline", "heading", "list_item", "code", "formula", "other")
-WORD_DIMS, PATH_DIMS, SHAPE_DIMS, HIDDEN = 48, 16, 20, 24
+LABELS = ("plain", "inline", "other", "heading", "list_item", "code", "code_in", "formula", "formula_in")
+#: Labels with which an element begins, and the element.
+BEGINS = {3: "heading", 4: "list_item", 5: "code_block", 7: "formula"}
+WORD_DIMS, PATH_DIMS, SHAPE_DIMS, HIDDEN = 64, 16, 32, 32
 INPUT = WORD_DIMS + PATH_DIMS + SHAPE_DIMS
 #: Texts without any of these hold no markup of the four languages, so they need no labelling.
 TRIGGER = (
     r"(?m)<[A-Za-z/!]|&#?\w+;|\\[A-Za-z\[\](){}$&%#_]|[`~]{2}|`|\$\S|\[\[|\]\]|\]\(|\[https?:|\{\{|\{\||''|\*\*|__|(?<!\w)[*_]\w|\w[*_](?!\w)"
     r"|^[ \t]*(?:#{1,6}|={2,}|-{3,}|[*+-][ \t]|\d{1,9}[.)][ \t]|[>|])|^[*#:;]|^(?: {4}|\t)"
 )
-_TOKEN = re.compile(r"\\[A-Za-z]+\*?|</?[A-Za-z][A-Za-z0-9]*|<!--|-->|&#?\w+;|[#=*~`$_'|>\[\]{}\\:-]+|[^\W\d_]+|\d+")
+_TOKEN = re.compile(r"\\[A-Za-z]+\*?|</?[A-Za-z][A-Za-z0-9]*|<!--|-->|&#?\w+;|[#=*~`$_'|>\[\]{}\\:^-]+|[^\W\d_]+|\d+")
 _OPEN = re.compile(r"<(/?)(pre|code|syntaxhighlight|source|script|style|ul|ol|table|blockquote|div|math)\b[^>]*?(/?)>|\\(begin|end)\{(\w+)\*?\}|(\{\||\|\})", re.I)
-_START = ("#", "=", "*", "-", "+", ">", "|", "<", "\\", "$", "`", "~", " ", "\t", "{", ":", "[")
+_START = ("#", "=", "*", "-", "+", ">", "|", "<", "\\", "$", "`", "~", " ", "\t", "{", ":", "[", "&", "'")
+_BLOCK_TAG = r"h[1-6]|li|ul|ol|pre|code|math|p|div|script|style|table|tr|blockquote|syntaxhighlight|source"
+#: What may be a formula is a leaf of its own; tags of blocks and commands of structure begin one.
+_FORMULA = r"\$\$(?=\s*\S)[^$]+?\$\$|(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<![\s\\])\$(?![\w$])|\\\((?s:.+?)\\\)|\\\[(?s:.+?)\\\]"
+_CUT = re.compile(rf"\n|(?P<formula>{_FORMULA})|(?:<|&lt;)/?(?i:{_BLOCK_TAG})\b|\\(?:item|(?:sub)*section|chapter|(?:sub)?paragraph|begin|end)\b")
+
+
+def leaves(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the leaf blocks in order; together they are the text without its line ends."""
+    out, at = [], 0
+    for m in _CUT.finditer(text):
+        a, b = m.span()
+        if text[a] == "\n":
+            out.append((at, a))
+            at = b
+        elif m["formula"]:
+            if a > at:
+                out.append((at, a))
+            out.append((a, b))
+            at = b
+        elif a > at:
+            out.append((at, a))
+            at = a
+    out.append((at, len(text)))
+    return out
 
 
 @functools.lru_cache(50_000)
@@ -43,38 +67,93 @@ def _bucket(token: str) -> tuple[int, float]:
     return h % WORD_DIMS, 1.0 if h & 0x10000 else -1.0
 
 
-def block_vectors(text: str) -> np.ndarray:
-    """One row for each line: hashed words and signs, tag path, shape."""
-    lines = text.split("\n")
-    out = np.zeros((len(lines), INPUT), dtype=np.float32)
+#: Words of programs keep their form, words of prose are all alike.
+_CODE_WORDS = frozenset("select from where def return for if else while import print int var let const function class sum".split())
+
+
+@functools.lru_cache(50_000)
+def _word(token: str) -> str:
+    if token[0].isalpha():
+        low = token.lower()
+        return low if low in _CODE_WORDS else "w" + str(min(len(token), 3)) + ("A" if token[0].isupper() else "a")
+    return "0" if token[0].isdigit() else token.lower()[:8]
+
+
+_NUMBERED = re.compile(r"\s*\d{1,9}[.)]\s")
+_SPAN_OPENS, _SPAN_CLOSES = re.compile(r"\$|\\[(\[]"), re.compile(r"\$$|\\[)\]]$")
+_MATH_SIGN, _MATH_LETTER = re.compile(r"[\\^_{}=<>+]"), re.compile(r"\$+\s*[A-Za-z]\w?'?\s*\$+")
+_BULLET = re.compile(r"[ \t]*[*#+-]+[ \t]*\S")
+_EMPHASIS = re.compile(r"(?:^|\W)([*_`'~]{1,3})\S.*\S\1(?:\W|$)")
+_FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
+_START_AT = {c: k for k, c in enumerate(_START)}
+
+
+def leaf_vectors(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """One row for each leaf: hashed words and signs, tag path, shape."""
+    at: list[int] = []
+    val: list[float] = []
     path: list[str] = []
-    fence = ""
-    for k, line in enumerate(lines):
-        row = out[k]
-        for tok in _TOKEN.findall(line):
-            # words of plain prose are all alike; signs, commands, tags and numbers keep their form
-            j, s = _bucket(("w" + str(min(len(tok), 3))) if tok[0].isalpha() else "0" if tok[0].isdigit() else tok.lower())
-            row[j] += s
-        row[:WORD_DIMS] = np.sign(row[:WORD_DIMS]) * np.log1p(np.abs(row[:WORD_DIMS]))
-        m = re.match(r"\s{0,3}(`{3,}|~{3,})", line)
-        if m:
-            fence = "" if fence and m[1].startswith(fence) else fence or m[1][:3]
-        for tag in [*path, *(["fence"] if fence else [])]:
-            row[WORD_DIMS + zlib.crc32(tag.encode()) % PATH_DIMS] += 1
-        for close, tag, empty, env, name, table in _OPEN.findall(line):
-            kind = (tag or name or "wikitable").lower()
-            if close or env == "end" or table == "|}":
-                if kind in path:
-                    del path[len(path) - 1 - path[::-1].index(kind) :]
-            elif not empty and len(path) < 20:
-                path.append(kind)
-        shape = row[WORD_DIMS + PATH_DIMS :]
-        body = line.strip()
-        if line[:1] in _START:
-            shape[_START.index(line[0])] = 1
-        shape[17] = not body
-        shape[18] = bool(re.match(r"\s*\d{1,9}[.)]\s", line))
-        shape[19] = min(len(body), 400) / 200
+    fence, blank_before, size = "", True, len(text)
+    for k, (a, b) in enumerate(spans):
+        leaf = text[a:b]
+        word0, path0, shape0 = k * INPUT, k * INPUT + WORD_DIMS, k * INPUT + WORD_DIMS + PATH_DIMS
+        line_start, line_end = a == 0 or text[a - 1] == "\n", b == size or text[b] == "\n"
+        for tok in _TOKEN.findall(leaf):
+            j, sign = _bucket(_word(tok))
+            at.append(word0 + j)
+            val.append(sign)
+        on = [path0 + zlib.crc32(tag.encode()) % PATH_DIMS for tag in path[-4:] + (["fence"] if fence else [])]
+        if line_start:
+            on.append(shape0 + 22)
+            if blank_before:
+                on.append(shape0 + 25)
+        if line_end:
+            on.append(shape0 + 23)
+        body = leaf.strip()
+        if not body:
+            on.append(shape0 + 19)
+        else:
+            first, end = leaf[0], body[-1]
+            if first in _START_AT:
+                on.append(shape0 + _START_AT[first])
+            if first == "\t" or leaf[:4] == "    ":
+                on.append(shape0 + 24)
+            if line_start and _NUMBERED.match(leaf):
+                on.append(shape0 + 20)
+            at.append(shape0 + 21)
+            val.append(min(len(body), 400) / 200)
+            if body[0] in "=-*_" and len(body) > 1 and not body.strip(body[0]):
+                on.append(shape0 + 26)
+            if first in "$\\":
+                if _SPAN_OPENS.match(leaf) and _SPAN_CLOSES.search(leaf):
+                    on.append(shape0 + 27)
+                if _MATH_LETTER.fullmatch(leaf):
+                    on.append(shape0 + 28)
+                elif _MATH_SIGN.search(leaf[2:-2]):
+                    on.append(shape0 + 28)
+            if end in ".!?…”\"»":
+                on.append(shape0 + 29)
+            if line_start and _BULLET.match(leaf):
+                on.append(shape0 + 30)
+            if ("*" in leaf or "_" in leaf or "`" in leaf or "''" in leaf or "~" in leaf) and _EMPHASIS.search(body):
+                on.append(shape0 + 31)
+        at += on
+        val += [1.0] * len(on)
+        if line_start:
+            if m := _FENCE.match(leaf):
+                fence = "" if fence and m[1].startswith(fence) else fence or m[1][:3]
+            blank_before = not body and line_end
+        if "<" in leaf or "\\" in leaf or "|" in leaf:
+            for close, tag, empty, env, name, table in _OPEN.findall(leaf):
+                kind = (tag or name or "wikitable").lower()
+                if close or env == "end" or table == "|}":
+                    if kind in path:
+                        del path[len(path) - 1 - path[::-1].index(kind) :]
+                elif not empty and len(path) < 20:
+                    path.append(kind)
+    out = np.bincount(np.array(at, np.int64), np.array(val), len(spans) * INPUT).astype(np.float32).reshape(len(spans), INPUT)
+    words = out[:, :WORD_DIMS]
+    words[:] = np.sign(words) * np.log1p(np.abs(words))
     return out
 
 
@@ -313,14 +392,14 @@ def read_markdown(t: str) -> tuple[dict, str]:
             out.append(r.hold("code_block", "```\n" + "\n".join(re.sub(r"^(?: {4}|\t)", "", x) for x in lines[k:end]) + "\n```"))
             k = end
             continue
-        if re.match(r" {0,3}(?:([*_-])[ \t]*)(?:\1[ \t]*){2,}$", line):
+        if re.match(r" {0,3}(?:={2,}|-{2,})[ \t]*$", line) and out and out[-1].strip() and k and lines[k - 1].strip() and not re.match(r"\s*[-*+#>|]", lines[k - 1]):
+            r.n["heading"] += 1
+            out[-1] = ("# " if "=" in line else "## ") + out[-1]
+        elif re.match(r" {0,3}(?:([*_-])[ \t]*)(?:\1[ \t]*){2,}$", line):
             out.append("")
         elif m := re.match(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", line):
             r.n["heading"] += 1
             out.append(f"{m[1]} {m[2] or ''}")
-        elif re.match(r" {0,3}(?:={2,}|-{2,})[ \t]*$", line) and out and out[-1].strip() and k and lines[k - 1].strip() and not re.match(r"\s*[-*+#>|]", lines[k - 1]):
-            r.n["heading"] += 1
-            out[-1] = ("# " if "=" in line else "## ") + out[-1]
         elif m := re.match(r"(?:> ?)?([ \t]*)(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)", line):
             r.n["list_item"] += 1
             in_list = True
@@ -370,21 +449,47 @@ def language_of(text: str) -> tuple[str | None, int]:
     return None, 0
 
 
-def read_document(text: str) -> tuple[str | None, dict, str]:
-    """Language, element counts and clean text of a document."""
-    lang, _ = language_of(text)
+def element_counts(labels: np.ndarray) -> dict[str, int]:
+    """How many elements of each kind the labels let begin."""
+    return {name: int((labels == k).sum()) for k, name in BEGINS.items()}
+
+
+def converted(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> tuple[str | None, str]:
+    """Language of the labelled leaves and the text with each run of them converted by the language's grammar.
+
+    None and the text as it is if the labelled leaves show no sign of a language.
+    """
+    runs: list[list[int]] = []
+    last, held = -2, -2
+    for k, (a, b) in enumerate(spans):
+        if labels[k]:
+            if held == k - 1 and runs:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+            held = k
+        elif held == k - 1 and not text[a:b].strip():  # a blank line parts no run
+            held = k
+    lang, _ = language_of("\n".join(text[a:b] for a, b in runs)) if runs else (None, 0)
     if lang is None:
-        return None, {}, text
-    n, clean = READERS[lang](text)
-    return lang, n, clean
+        return None, text
+    out, last = [], 0
+    for a, b in runs:
+        out += [text[last:a], READERS[lang](text[a:b])[1]]
+        last = b
+    return lang, re.sub(r"\n{3,}", "\n\n", "".join([*out, text[last:]])).strip()
 
 
 def _read(batches):
+    net = trained()
     for pdf in batches:
+        cut = [leaves(t) for t in pdf["text"]]
+        labels = net.label([leaf_vectors(t, c) for t, c in zip(pdf["text"], cut)])
         rows = []
-        for i, t in zip(pdf["id"], pdf["text"]):
-            lang, n, clean = read_document(t)
-            rows.append((i, lang, n.get("heading", 0), n.get("list_item", 0), n.get("code_block", 0), n.get("formula", 0), clean))
+        for i, t, c, y in zip(pdf["id"], pdf["text"], cut, labels):
+            lang, clean = converted(t, c, y)
+            n = element_counts(y)
+            rows.append((i, lang, n["heading"], n["list_item"], n["code_block"], n["formula"], clean))
         yield pd.DataFrame(rows, columns=["id", "language", "heading", "list_item", "code_block", "formula", "clean"])
 
 
