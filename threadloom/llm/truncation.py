@@ -5,15 +5,17 @@ escaping and newline conversion. Grouped by source, a hidden storage limit shows
 lengths; a limit counted in whole words leaves a heap a word wide. Then the endings are inspected: at a limit a text is
 cut unless its ending proves it whole, elsewhere (a transfer that broke off leaves no limit) only unless proved cut.
 
-All of it is built-in expressions; what is shuffled is counts of lengths, never a text.
+All of it is built-in expressions; texts are read once, and what is shuffled is counts of lengths.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.session import StageTables
+
 # Words that stand for an omission when bracketed, and abbreviations whose full stop ends no sentence.
 MORE = "more|read more|continued|mehr|weiter|suite|lire la suite|más|leer más"
 ABBREVIATIONS = "No|Nr|Mr|Mrs|Ms|Dr|Prof|St|Hon|Gov|Sen|Gen|Rep|Sr|Sra|Mme|vs|bzw|núm|approx"
@@ -29,33 +31,36 @@ MIN_SIGN_OFFS = 5
 MARK = rf"(?i)\s*(?:[\[(]\s*(?:\.\.\.|…|{MORE}|\+?\d+ ?(?:more )?(?:chars|characters|zeichen|caractères|caracteres))\s*(?:\.\.\.|…)?\s*[\])]|…|\.\.\.)$"
 
 
-def _count(text: Column, ch: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
-
-
-def lengths(text: Column) -> dict[str, Column]:
-    """The text's length by each way a store may count it."""
-    chars, size = F.length(text), F.octet_length(text)
-    # code points beyond the BMP take four bytes and two UTF-16 units
-    astral = F.length(text) - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", ""))
-    wide = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))  # characters outside ASCII
-    lines, amp, angle = _count(text, "\n"), _count(text, "&"), _count(text, "<") + _count(text, ">")
-    quote, apos, back, tab = _count(text, '"'), _count(text, "'"), _count(text, "\\"), _count(text, "\t")
-    entities = amp * 4 + angle * 3 + quote * 5
-    json = quote + back + lines + tab
-    return {
-        "characters": chars,
-        "utf8_bytes": size,
-        "utf16_units": chars + astral,
-        "characters_crlf": chars + lines,
-        "utf8_bytes_crlf": size + lines,
-        "characters_entities": chars + entities,
-        "utf8_bytes_entities": size + entities,
-        "characters_entities_apos": chars + entities + apos * 5,
-        "json_utf8_bytes": size + json,
-        "json_characters": chars + json,
-        "json_ascii": chars - wide + (wide + astral) * 6 + json,
+MEASURES = (
+    "characters", "utf8_bytes", "utf16_units", "characters_crlf", "utf8_bytes_crlf", "characters_entities", "utf8_bytes_entities", "characters_entities_apos", "json_utf8_bytes", "json_characters", "json_ascii",
+)
+
+
+def with_lengths(df: DataFrame, text: str) -> DataFrame:
+    """df with lens, the text's length by each way a store may count it, in the order of MEASURES."""
+    t = F.col(text)
+    count = lambda ch: F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))
+    # one pass brings a text down to the characters outside ASCII; what else is asked of them is asked of those
+    d = df.withColumns({"__wide": F.regexp_replace(t, r"[\x00-\x7F]++", ""), "__chars": F.length(t), "__bytes": F.octet_length(t)} | {f"__{k}": count(ch) for k, ch in (("lines", "\n"), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quote", '"'), ("apos", "'"), ("back", "\\"), ("tab", "\t"))})
+    # code points beyond the BMP take two UTF-16 units
+    d = d.withColumn("__astral", F.length("__wide") - F.length(F.regexp_replace("__wide", r"[\x{10000}-\x{10FFFF}]", "")))
+    c = lambda k: F.col(f"__{k}")
+    entities = c("amp") * 4 + (c("lt") + c("gt")) * 3 + c("quote") * 5
+    json = c("quote") + c("back") + c("lines") + c("tab")
+    lens = {
+        "characters": c("chars"),
+        "utf8_bytes": c("bytes"),
+        "utf16_units": c("chars") + c("astral"),
+        "characters_crlf": c("chars") + c("lines"),
+        "utf8_bytes_crlf": c("bytes") + c("lines"),
+        "characters_entities": c("chars") + entities,
+        "utf8_bytes_entities": c("bytes") + entities,
+        "characters_entities_apos": c("chars") + entities + c("apos") * 5,
+        "json_utf8_bytes": c("bytes") + json,
+        "json_characters": c("chars") + json,
+        "json_ascii": c("chars") - F.length("__wide") + (F.length("__wide") + c("astral")) * 6 + json,
     }
+    return d.withColumn("lens", F.array(*[lens[m].cast("int") for m in MEASURES])).select(*df.columns, "lens")
 
 
 def _endings(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -87,7 +92,8 @@ def _endings(documents: DataFrame, id_col: str, text_col: str, source_col: str)
     form = F.col("tail")
     for pattern, to in ((r"\S+@\S+|\S+://\S+", "U"), (r"\p{Nd}+", "0"), (r"\p{Lu}[\p{Ll}'’-][\p{L}'’-]*(?:\s+\p{Lu}[\p{Ll}'’-][\p{L}'’-]*)*", "N")):
         form = F.regexp_replace(form, pattern, to)
-    return d.withColumns({"open": ~closed, "sign_off": sign_off, "form": F.when(sign_off, F.xxhash64(form))})
+    d = d.withColumns({"open": ~closed, "sign_off": sign_off}).withColumn("form", F.when(F.col("sign_off"), F.xxhash64(form)))
+    return with_lengths(d.select("id", "src", "end", "mark", "open", "sign_off", "form"), "end").drop("end")
 
 
 def hidden_limits(endings: DataFrame) -> DataFrame:
@@ -97,8 +103,8 @@ def hidden_limits(endings: DataFrame) -> DataFrame:
     The lengths of all texts are counted, complete ones too. A heap is a window of lengths with more texts than its
     neighbourhood lets expect; it is a limit if most of its texts then prove unfinished. A source may have several.
     """
-    u = endings.select("src", "mark", (F.col("open") & (~F.col("sign_off") | (F.col("mark") == "dots"))).cast("int").alias("cut"), F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("v")) for k, v in lengths(F.col("end")).items()])).alias("m"))
-    h = u.groupBy("src", "mark", "m.measure", "m.v").agg(F.count("*").alias("n"), F.sum("cut").alias("cut"))
+    u = endings.select("src", "mark", (F.col("open") & (~F.col("sign_off") | (F.col("mark") == "dots"))).cast("int").alias("cut"), F.posexplode("lens").alias("m", "v"))
+    h = u.groupBy("src", "mark", F.get(F.array(*[F.lit(m) for m in MEASURES]), F.col("m")).alias("measure"), "v").agg(F.count("*").alias("n"), F.sum("cut").alias("cut"))
     w = Window.partitionBy("src", "mark", "measure").orderBy("v")
     heap = w.rangeBetween(1 - WORD_SLACK, 0)
     h = h.withColumns({"texts": F.sum("n").over(heap), "open": F.sum("cut").over(heap), "near": F.sum("n").over(w.rangeBetween(-NEIGHBOURHOOD, NEIGHBOURHOOD))})
@@ -119,13 +125,13 @@ def truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     line (signature, address, link, label with a value, bracketed note, ornament) of a form that texts at no limit
     have. Elsewhere only an ending in mid-sentence or mid-word that is no closing line at all shows a cut.
     """
-    e = _endings(documents, id_col, text_col, source_col)
+    # texts are read once; what is kept of each is a few numbers
+    e = StageTables(documents.sparkSession, "endings").write(_endings(documents, id_col, text_col, source_col), "endings")
     one = F.struct(F.negative(F.col("texts") + F.col("exact")).alias("rank"), "measure", "cap")
     l = hidden_limits(e).groupBy(F.col("src").alias("l_src"), F.col("mark").alias("l_mark")).agg(F.sort_array(F.collect_list(one)).alias("limits"))
-    j = e.withColumn("lens", F.create_map(*[x for k, v in lengths(F.col("end")).items() for x in (F.lit(k), v.cast("int"))]))
-    j = j.select("id", "src", "mark", "open", "sign_off", "form", "lens").join(l, F.col("src").eqNullSafe(F.col("l_src")) & (F.col("mark") == F.col("l_mark")), "left")
+    j = e.join(l, F.col("src").eqNullSafe(F.col("l_src")) & (F.col("mark") == F.col("l_mark")), "left")
     # all limits of a source are tried, the sharpest first; there are at most as many as lengths of texts
-    hit = F.get(F.filter("limits", lambda x: F.element_at(F.col("lens"), x["measure"]).between(x["cap"] - WORD_SLACK + 1, x["cap"])), F.lit(0))
+    hit = F.get(F.filter("limits", lambda x: F.element_at("lens", F.array_position(F.array(*[F.lit(m) for m in MEASURES]), x["measure"]).cast("int")).between(x["cap"] - WORD_SLACK + 1, x["cap"])), F.lit(0))
     j = j.withColumn("hit", hit)
     j = j.select("id", "src", "mark", "open", "sign_off", "form", F.col("hit.measure").alias("measure"), F.col("hit.cap").alias("cap"), F.col("hit").isNotNull().alias("at_limit"))
     known = j.where("sign_off and not at_limit").groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SIGN_OFFS).select("form", F.lit(True).alias("known"))
