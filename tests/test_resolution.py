@@ -89,6 +89,15 @@ def test_pairs_within_blocks_cut_into_cells(spark):
     assert blocks.pairs_within(df.limit(0), "key", "id").count() == 0
 
 
+def test_spread_join_equals_join(spark):
+    rng = random.Random(9)
+    big = spark.createDataFrame([(rng.choice(["hot", "hot", "hot", "a", "b", None, "c"]), i) for i in range(200)], "k string, i int")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), ("z", 4)], "k string, v int")
+    told = lambda df: sorted(str(tuple(r)) for r in df.select("k", "i", "v").collect())
+    for how in ("inner", "left"):
+        assert told(blocks.spread_join(big, small, ["k"], "i", how=how, hot_rows=7)) == told(big.join(small, "k", how))
+
+
 def profiles(spark, data):
     return spark.createDataFrame([(i, t, n, [n], r, [], c, "2024-10-22") for i, t, n, r, c in data], "profile_id string, entity_type string, normalized string, norm_surfaces array<string>, roles array<string>, orgs array<string>, countries array<string>, published_at string").withColumn("published_at", F.col("published_at").cast("timestamp"))
 

@@ -56,7 +56,7 @@ def test_coreference_rules(spark):
     assert rows(al, "ner_mention_id") == [("m1",)]
     d = spark.createDataFrame([("d", "He and the herd saw her.")], "article_id string, text string")
     s = spark.createDataFrame([("d", 0, 0, 24)], "article_id string, idx int, start int, end int")
-    assert rows(coref.pronoun_spans(d, m.limit(0), s, "article_id", "text"), "text", "start", "gender") == [("he", 0, "M"), ("her", 20, "F")]
+    assert rows(coref.pronoun_spans(d, m.limit(0), s, "article_id", "text"), "text", "start", "gender") == [("He", 0, "M"), ("her", 20, "F")]
 
 
 def test_pattern_relations(spark):

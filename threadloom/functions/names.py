@@ -27,25 +27,16 @@ def coref_name(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(t, r"(?U)[^\w\s]", "")))
 
 
-def _drop_leading(tokens: Column, stop: list[str], n: int = 4) -> Column:
-    """Leading tokens of a list go while another follows; n at most, which no name exceeds."""
-    for _ in range(n):
-        tokens = F.when((F.size(tokens) > 1) & F.element_at(tokens, 1).isin(stop), F.slice(tokens, 2, 1000)).otherwise(tokens)
-    return tokens
-
-
 def plain_name(surface: Column, kind: Column) -> Column:
     """Normal form for comparing across documents. Accents must be stripped before (strip_accents)."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(surface), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
     roles = sorted((r.lower() for r in lx.ROLES), key=len, reverse=True)
     person = F.regexp_replace(t, rf"^(?:{'|'.join(roles)}) +", "")
-    person = F.filter(F.split(person, " "), lambda w: (w != "") & ~w.isin(lx.HONORIFICS))
-    for _ in range(3):
-        person = F.when((F.size(person) > 1) & F.get(person, F.lit(0)).isin(lx.TITLE_SHORT), F.slice(person, 2, 1000)).otherwise(person)
+    person = F.filter(F.split(person, " "), lambda w: (w != "") & ~w.isin(*lx.HONORIFICS))
     org = words(F.regexp_replace(t, rf"(?:(?:^| )(?:{'|'.join(lx.ORG_SUFFIXES)}))+$", ""))
-    fewer = F.filter(org, lambda w: ~w.isin(lx.ORG_STOPWORDS))
+    fewer = F.filter(org, lambda w: ~w.isin(*lx.ORG_STOPWORDS))
     org = F.when((F.size(org) > 1) & (F.size(fewer) > 0), fewer).otherwise(org)
-    return F.when(kind == "PERSON", F.array_join(person, " ")).otherwise(F.array_join(org, " "))
+    return F.when(kind == "PERSON", F.regexp_replace(F.array_join(person, " "), rf"^(?:(?:{'|'.join(lx.TITLE_SHORT)}) )+", "")).otherwise(F.array_join(org, " "))
 
 
 def surname(name: Column) -> Column:
@@ -81,7 +72,7 @@ def blocking_keys(name: Column, kind: Column) -> Column:
 
 
 def is_resolvable(name: Column) -> Column:
-    return (F.length(name) >= 3) & ~name.isin(lx.NOT_NAMES)
+    return (F.length(name) >= 3) & ~name.isin(*lx.NOT_NAMES)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -43,25 +43,53 @@ TOPICS = {
 }
 # Abbreviations whose full stop does not end a sentence.
 ABBREVIATIONS = (
-    "mr mrs ms dr prof sr jr st rev hon gen capt col lt sgt gov sen rep amb inc ltd co corp plc pvt llc llp assn bros "
-    "no vs etc eg ie al fig vol pp approx est rs usd dept univ min max jan feb mar apr jun jul aug sept sep oct nov dec "
-    "mon tue wed thu fri sat sun u.s u.k u.n e.u d.c govt natl"
-).split()
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "rev", "hon", "gen", "capt", "col", "lt", "sgt", "gov", "sen", "rep", "amb", "inc", "ltd",
+    "co", "corp", "plc", "pvt", "llc", "llp", "assn", "bros", "no", "vs", "etc", "eg", "ie", "al", "fig", "vol", "pp", "approx", "est", "rs", "usd",
+    "dept", "univ", "min", "max", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sept", "sep", "oct", "nov", "dec", "mon", "tue", "wed", "thu",
+    "fri", "sat", "sun", "u.s", "u.k", "u.n", "e.u", "d.c", "govt", "natl",
+)
 # Pronouns by what they can refer to, and all pronominal forms.
-MASCULINE, FEMININE, NEUTER = "he him his himself".split(), "she her hers herself".split(), "it its itself".split()
-PLURAL = "they them their theirs themselves".split()
+MASCULINE = (
+    "he", "him", "his", "himself",
+)
+FEMININE = (
+    "she", "her", "hers", "herself",
+)
+NEUTER = (
+    "it", "its", "itself",
+)
+PLURAL = (
+    "they", "them", "their", "theirs", "themselves",
+)
 PRONOUNS = (
-    "i me my mine myself you your yours yourself yourselves he him his himself she her hers herself it its itself "
-    "we us our ours ourselves they them their theirs themselves who whom whose which that this these those"
-).split()
+    "i", "me", "my", "mine", "myself", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers",
+    "herself", "it", "its", "itself", "we", "us", "our", "ours", "ourselves", "they", "them", "their", "theirs", "themselves", "who", "whom", "whose",
+    "which", "that", "this", "these", "those",
+)
 # Words that names are compared without.
-COREF_HONORIFICS = "mr mrs ms dr prof sir shri smt".split()
-HONORIFICS = "mr mrs ms miss dr prof professor sir dame shri smt sri hon rev fr st".split()
-TITLE_SHORT = "pm cm fm hm dy deputy ceo cfo cto coo mp mla gov sen rep amb pres vp sec gen lt col capt maj".split()
-ORG_SUFFIXES = "ltd limited inc incorporated corp corporation co company plc llc llp pvt private group holdings sa ag nv gmbh bv".split()
-ORG_STOPWORDS = "the of and for in at on de la du".split()
-NOT_NAMES = "rs usd eur inr gbp crore lakh bn mn ceo cfo gdp ai".split()
-NAME_FINAL = "inc ltd co corp plc pvt llc llp bros jr sr st mt".split()
+COREF_HONORIFICS = (
+    "mr", "mrs", "ms", "dr", "prof", "sir", "shri", "smt",
+)
+HONORIFICS = (
+    "mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "dame", "shri", "smt", "sri", "hon", "rev", "fr", "st",
+)
+TITLE_SHORT = (
+    "pm", "cm", "fm", "hm", "dy", "deputy", "ceo", "cfo", "cto", "coo", "mp", "mla", "gov", "sen", "rep", "amb", "pres", "vp", "sec", "gen", "lt",
+    "col", "capt", "maj",
+)
+ORG_SUFFIXES = (
+    "ltd", "limited", "inc", "incorporated", "corp", "corporation", "co", "company", "plc", "llc", "llp", "pvt", "private", "group", "holdings", "sa",
+    "ag", "nv", "gmbh", "bv",
+)
+ORG_STOPWORDS = (
+    "the", "of", "and", "for", "in", "at", "on", "de", "la", "du",
+)
+NOT_NAMES = (
+    "rs", "usd", "eur", "inr", "gbp", "crore", "lakh", "bn", "mn", "ceo", "cfo", "gdp", "ai",
+)
+NAME_FINAL = (
+    "inc", "ltd", "co", "corp", "plc", "pvt", "llc", "llp", "bros", "jr", "sr", "st", "mt",
+)
 # Trust in an extractor's label, specificity of labels, order of preference for a coreference link.
 TRUST = {
     "transformer": {"PERSON": 0.95, "ORG": 0.88, "LOCATION": 0.85, "MISC": 0.30},
@@ -89,7 +117,9 @@ VERBS = {
     "chair": "works_for", "head": "works_for", "lead": "works_for", "represent": "represents",
 }
 VERB_NOUNS = {("hold", "talk"): "met", ("hold", "meeting"): "met", ("have", "talk"): "met", ("hold", "discussion"): "discussed"}
-MODALS = "may might could would should will plan expect schedule".split()
+MODALS = (
+    "may", "might", "could", "would", "should", "will", "plan", "expect", "schedule",
+)
 JOINERS = ("", ",", "the", ", the", "of", "of the", ", who is", "-", "&")
 OF_JOINERS = ("of", "of the", "at", "at the")
 ADJACENT, APPOSITIVE, OF_ORG, DIRECT, PREPOSITION, COREF_FACTOR, MODAL_FACTOR, MIN_CONFIDENCE = 0.90, 0.78, 0.85, 0.75, 0.65, 0.85, 0.70, 0.35
@@ -97,4 +127,30 @@ ADJACENT, APPOSITIVE, OF_ORG, DIRECT, PREPOSITION, COREF_FACTOR, MODAL_FACTOR, M
 WEIGHTS = {"name": 0.35, "alias": 0.18, "context": 0.12, "role": 0.12, "org": 0.10, "country": 0.08, "temporal": 0.05}
 MATCH, REVIEW = 0.55, 0.35
 NAME_SUBSET, NAME_FUZZY, DECAY_DAYS, NOISY_CAP = 0.80, 0.70, 90.0, 0.99
-MIN_BODY = 120
+MIN_BODY, CONTEXT = 120, 1000
+# Cleaned texts, and so all offsets, must be equal character for character; so these are the signs, tags and
+# marks that cleaning knows, and where a sentence and an event end.
+INVISIBLE = "\u200b\u200c\u200d\ufeff\u00ad"
+PLAIN_SIGNS = {
+    "\u2018": "'",
+    "\u2019": "'",
+    "\u201a": "'",
+    "\u201b": "'",
+    "\u201c": '"',
+    "\u201d": '"',
+    "\u201e": '"',
+    "\u201f": '"',
+    "\u2013": '-',
+    "\u2212": '-',
+    "\u00a0": ' ',
+    "\u202f": ' ',
+    "\u2009": ' ',
+}
+DASH, ELLIPSIS = (" - ", "...")
+DROPPED_TAGS = ("script", "style", "noscript", "template")
+BLOCK_TAGS = ("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote", "tr", "td", "th", "table")
+CITATION_MARKS = (r"\d{1,3}", "[a-z]", "citation needed", r"note \d+")
+SENTENCE_END = r"([.!?]+[\"')\]]*)(\s+)(?=[\"'(\[]*[A-Z0-9])"
+EVENT_LEAD = r"(?:\d{1,3}(?:st|nd|rd|th)\s+)?(?:[A-Z][\w.\-]*\s+){0,3}"
+# Fixed value: a timestamp that states its offset, as ISO 8601 writes it.
+ZONED = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})"

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -101,3 +102,33 @@ def canonical_arguments(relations: DataFrame, aliases: DataFrame) -> DataFrame:
     for c in ("subject", "object"):
         relations = relations.withColumn("__k", plain(F.col(c))).join(a, F.col("__k") == F.col("__a"), "left").withColumn(c, F.coalesce("__e", "__k")).drop("__k", "__a", "__e")
     return relations
+
+
+def gold_spans(gold: DataFrame, documents: DataFrame, sentences: DataFrame, doc: str = "article_id", text: str = "text") -> DataFrame:
+    """gold (doc, sent, text, ...) with start and end: the first place of the text in its sentence, null if it is not there."""
+    s = sentences.select(F.col(doc).alias("__sd"), F.col("idx").alias("__i"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    d = documents.select(F.col(doc).alias("__d"), F.col(text).alias("__t"))
+    j = gold.join(s, (F.col(doc) == F.col("__sd")) & (F.col("sent") == F.col("__i")), "left").join(d, F.col(doc) == F.col("__d"), "left")
+    at = F.instr(F.substring("__t", F.col("__s") + 1, F.col("__e") - F.col("__s")), F.col("text"))
+    start = F.when(at > 0, F.col("__s") + at - 1)
+    j = j.withColumn("__at", start)
+    return j.withColumns({"start": F.col("__at").cast("int"), "end": (F.col("__at") + F.length("text")).cast("int")}).drop("__sd", "__i", "__s", "__e", "__d", "__t", "__at")
+
+
+def unresolved_gold(spans: DataFrame) -> DataFrame:
+    return spans.where("start is null")
+
+
+def pair_examples(together: DataFrame, apart: DataFrame, n: int = 5) -> DataFrame:
+    """(left, right), left < right: the first n pairs that are in one cluster of together (item, cluster) and in different
+    ones of apart. With the gold standard as apart they are false merges, the other way round false splits.
+
+    The first n pairs of a cluster lie among the first 2 n items of its first 2 n parts, so no cluster is paired whole.
+    """
+    j = together.select("item", F.col("cluster").cast("string").alias("t")).join(apart.select("item", F.col("cluster").cast("string").alias("a")), "item", "left")
+    j = j.withColumns({"item": F.col("item").cast("string"), "a": F.coalesce("a", F.concat(F.lit("\x00"), F.col("item").cast("string")))})
+    j = j.withColumns({"k": F.row_number().over(Window.partitionBy("t", "a").orderBy("item")), "first": F.min("item").over(Window.partitionBy("t", "a"))}).where(F.col("k") <= 2 * n)
+    j = j.withColumn("part", F.dense_rank().over(Window.partitionBy("t").orderBy("first"))).where(F.col("part") <= 2 * n)
+    o = j.select(F.col("t").alias("t2"), F.col("a").alias("a2"), F.col("item").alias("right"))
+    p = j.join(o, (F.col("t") == F.col("t2")) & (F.col("a") != F.col("a2")) & (F.col("item") < F.col("right")))
+    return p.select(F.col("item").alias("left"), "right").distinct().orderBy("left", "right").limit(n)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.blocks import pairs_within
+
 
 def find_entity(entities: DataFrame, aliases: DataFrame, name: str, normalized: str | None = None) -> DataFrame:
     """By canonical name or any alias, case aside."""
@@ -39,11 +41,12 @@ def in_articles_about(articles: DataFrame, entity_mentions: DataFrame, entities:
 
 
 def co_occurring(entity_mentions: DataFrame, entities: DataFrame, entity_id: str | None = None, limit: int | None = 10) -> DataFrame:
-    """Entities that share articles with one, most shared first; for all entities if none is named (pairs a < b)."""
+    """Entities that share articles with one, most shared first; for all entities if none is named (pairs a < b). An article
+    with very many entities is paired in cells."""
     ea = entity_mentions.select("entity_id", "article_id").distinct()
     if entity_id is None:
-        o = ea.select("article_id", F.col("entity_id").alias("other_id"))
-        return ea.join(o, "article_id").where("entity_id < other_id").groupBy("entity_id", "other_id").agg(F.count("*").alias("shared_articles"))
+        p = pairs_within(ea.where("entity_id is not null").select("article_id", "entity_id"), "article_id", "entity_id").withColumnRenamed("entity_id2", "other_id")
+        return p.where("entity_id < other_id").groupBy("entity_id", "other_id").agg(F.count("*").alias("shared_articles"))
     mine = ea.where(F.col("entity_id") == entity_id).select("article_id")
     g = ea.where(F.col("entity_id") != entity_id).join(mine, "article_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("shared_articles"))
     g = g.join(entities.select("entity_id", "canonical_name", "entity_type"), "entity_id").orderBy(F.desc("shared_articles"), "canonical_name", "entity_id")
@@ -103,3 +106,51 @@ def resolve_mention(mentions: DataFrame, members: DataFrame) -> DataFrame:
     rep = members.where("is_representative").select("cluster_id", F.col("text").alias("rep"))
     c = members.where("mention_id is not null").select("mention_id", "cluster_id").distinct().join(rep, "cluster_id")
     return mentions.join(c, "mention_id", "left").select("mention_id", F.coalesce("rep", "text").alias("resolved"))
+
+
+def low_confidence_list(relations: DataFrame, documents: DataFrame, threshold: float, doc: str = "article_id", text: str = "text", length: int = 110) -> DataFrame:
+    """Relations below a confidence, least first, with whether coreference took part and the beginning of their evidence."""
+    d = documents.select(F.col(doc).alias("__d"), F.col(text).alias("__t"))
+    r = relations.where(F.col("confidence") < threshold).join(d, F.col(doc) == F.col("__d"), "left")
+    said = F.when(F.col("evidence_start") >= 0, F.substring("__t", F.col("evidence_start") + 1, F.least(F.col("evidence_end") - F.col("evidence_start"), F.lit(length)))).otherwise("")
+    via = F.col("subject_via_coref") | F.col("object_via_coref")
+    return r.select("relation_id", F.round("confidence", 2).alias("confidence"), "subject_text", "predicate", "object_text", via.alias("via_coref"), F.coalesce(said, F.lit("")).alias("evidence")).orderBy("confidence", "relation_id")
+
+
+def review_rows(pairs: DataFrame, profiles: DataFrame, length: int = 120) -> DataFrame:
+    """Pairs in review with both sides' names and roles, most likely first; an unknown profile is shown by its id."""
+    r = pairs.where("decision = 'review'") if "decision" in pairs.columns else pairs
+    for s in ("left", "right"):
+        p = profiles.select(F.col("profile_id").alias(f"{s}_id"), F.col("canonical_surface").alias(f"{s}_name"), F.array_join(F.sort_array("roles"), ", ").alias(f"{s}_roles"))
+        r = r.join(p, f"{s}_id", "left").withColumns({f"{s}_name": F.coalesce(f"{s}_name", f"{s}_id"), f"{s}_roles": F.coalesce(f"{s}_roles", F.lit(""))})
+    r = r.select("left_id", "right_id", F.round("score", 3).alias("score"), "left_name", "right_name", "left_roles", "right_roles", F.substring("reason", 1, length).alias("reason"))
+    return r.orderBy(F.desc("score"), "left_id", "right_id")
+
+
+def entity_rows(entities: DataFrame, aliases: DataFrame, attributes: DataFrame, kind: str | None = None) -> DataFrame:
+    """The table of entities: names, articles, aliases, roles and countries in one line each, most articles first."""
+    e = entities.where(F.col("entity_type") == kind) if kind else entities
+    al = aliases.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("alias")), ", ").alias("aliases"))
+    of = lambda t: F.array_join(F.sort_array(F.collect_set(F.when(F.col("attr_type") == t, F.col("value")))), ", ")
+    at = attributes.groupBy("entity_id").agg(of("role").alias("roles"), of("country").alias("countries"))
+    e = e.select("entity_id", "canonical_name", "entity_type", "article_count", F.round("merge_confidence", 2).alias("merge_confidence"))
+    e = e.join(al, "entity_id", "left").join(at, "entity_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("aliases", "roles", "countries")})
+    return e.orderBy(F.desc("article_count"), "entity_id")
+
+
+def relations_of_mentions(relations: DataFrame, entity_mentions: DataFrame, entity_id: str) -> DataFrame:
+    """Relations whose subject is a mention of the entity."""
+    m = entity_mentions.where(F.col("entity_id") == entity_id).select(F.col("mention_id").alias("subject_id")).distinct()
+    return relations.join(m, "subject_id", "left_semi")
+
+
+def titles_shown(articles: DataFrame, title: int = 60, body: int = 200) -> DataFrame:
+    """Articles as a list shows them: day, title and body cut to a length, size of the body."""
+    return articles.select("article_id", F.date_format("published_at", "yyyy-MM-dd").alias("day"), F.substring("title", 1, title).alias("title"), F.substring("body", 1, body).alias("body"), F.length("body").alias("chars"))
+
+
+def provenance(relations: DataFrame, articles: DataFrame, entity_mentions: DataFrame, entity_id: str, length: int = 160) -> DataFrame:
+    """What is believed of an entity and where it is said: triple, confidence, extractor, source and evidence."""
+    r = relations_of_mentions(relations, entity_mentions, entity_id).join(articles.select("article_id", "source", F.col("text").alias("__t")), "article_id")
+    said = F.when(F.col("evidence_start") >= 0, F.substring("__t", F.col("evidence_start") + 1, F.least(F.col("evidence_end") - F.col("evidence_start"), F.lit(length)))).otherwise("")
+    return r.select("subject_text", "predicate", "object_text", F.round("confidence", 2).alias("confidence"), "extractor", "trigger", "source", said.alias("evidence")).orderBy("predicate", F.desc("confidence"), "source")

@@ -147,3 +147,26 @@ def deduplicate(relations: DataFrame, doc: str = "article_id", min_confidence: f
 
 def relation_stats(relations: DataFrame) -> DataFrame:
     return relations.groupBy("predicate", "extractor").agg(F.count("*").alias("relations"), F.count_if(F.col("subject_via_coref") | F.col("object_via_coref")).alias("via_coref"))
+
+
+def relation_problems(relations: DataFrame, mentions: DataFrame, documents: DataFrame | None = None, text: str = "text", doc: str = "article_id") -> DataFrame:
+    """(relation_id, problem): relations whose subject or object is no mention, or whose evidence leaves the text."""
+    ids = mentions.select(F.col("mention_id").alias("__m")).distinct()
+    out = None
+    for side in ("subject", "object"):
+        lost = relations.join(ids, F.col(f"{side}_id") == F.col("__m"), "left_anti").select("relation_id", F.lit(f"{side} is no mention").alias("problem"))
+        out = lost if out is None else out.unionByName(lost)
+    if documents is not None and "evidence_end" in relations.columns:
+        d = documents.select(F.col(doc).alias("__d"), F.length(text).alias("__n"))
+        far = relations.join(d, F.col(doc) == F.col("__d"), "left").where("evidence_start >= 0 and (__n is null or evidence_end > __n)")
+        out = out.unionByName(far.select("relation_id", F.lit("evidence outside the text").alias("problem")))
+    return out
+
+
+def with_evidence(relations: DataFrame, mentions: DataFrame, sentences: DataFrame, doc: str = "article_id") -> DataFrame:
+    """relations with evidence_start and evidence_end: the sentence that holds the subject, -1 if none does."""
+    m = mentions.select(F.col("mention_id").alias("__m"), F.col(doc).alias("__d"), F.col("sentence_index").alias("__i"))
+    s = sentences.select(F.col(doc).alias("__sd"), F.col("idx").alias("__si"), F.col("start").alias("evidence_start"), F.col("end").alias("evidence_end"))
+    at = m.join(s, (F.col("__d") == F.col("__sd")) & (F.col("__i") == F.col("__si"))).select("__m", "evidence_start", "evidence_end").dropDuplicates(["__m"])
+    r = relations.join(at, F.col("subject_id") == F.col("__m"), "left").drop("__m")
+    return r.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("evidence_start", "evidence_end")})

@@ -40,13 +40,32 @@ def surname_attachments(p: DataFrame, doc: str = "article_id") -> DataFrame:
 def attach_surnames(p: DataFrame, doc: str = "article_id") -> DataFrame:
     """p with every attached surname-only profile folded into its full name's: sets and mentions are united."""
     at = surname_attachments(p, doc)
-    sets = ("surfaces", "norm_surfaces", "mention_ids", "roles", "orgs", "countries")
+    sets = [c for c in ("surfaces", "norm_surfaces", "mention_ids", "roles", "orgs", "countries", "topics", "events") if c in p.columns]
     more = p.join(at, F.col("profile_id") == F.col("short_id")).groupBy("full_id").agg(*[F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in sets])
     rest = p.join(at.select(F.col("short_id").alias("profile_id")), "profile_id", "left_anti").join(more, F.col("profile_id") == F.col("full_id"), "left")
     united = {c: F.when(F.col("full_id").isNull(), F.col(c)).otherwise(F.sort_array(F.array_union(c, f"more_{c}"))) for c in sets}
     return rest.withColumns(united).select(*p.columns)
 
 
+def profile_contexts(p: DataFrame, mentions: DataFrame, sentences: DataFrame, documents: DataFrame, doc: str = "article_id", text: str = "text", length: int = lx.CONTEXT) -> DataFrame:
+    """(profile_id, context): the sentences that a profile's mentions stand in, each once and in order, cut to a length."""
+    m = p.select("profile_id", F.explode("mention_ids").alias("mention_id")).join(mentions.select("mention_id", F.col(doc).alias("__d"), "sentence_index"), "mention_id")
+    m = m.where("sentence_index >= 0").select("profile_id", "__d", "sentence_index").distinct()
+    s = sentences.select(F.col(doc).alias("__sd"), F.col("idx").alias("__i"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    s = m.join(s, (F.col("__d") == F.col("__sd")) & (F.col("sentence_index") == F.col("__i"))).join(documents.select(F.col(doc).alias("__td"), F.col(text).alias("__t")), F.col("__d") == F.col("__td"))
+    # a sentence longer than the whole context is cut before it is gathered
+    said = F.substring("__t", F.col("__s") + 1, F.least(F.col("__e") - F.col("__s"), F.lit(length)))
+    g = s.groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("__i", said.alias("said")))).alias("x"))
+    return g.select("profile_id", F.substring(F.array_join(F.transform("x", lambda x: x["said"]), " "), 1, length).alias("context"))
+
+
+def context_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs with raw: the cosine of both sides' unit vectors (profile_id, embedding), 0 where a side has none."""
+    side = lambda s: vectors.select(F.col("profile_id").alias(f"{s}_id"), F.col("embedding").alias(f"__{s}"))
+    j = pairs.join(side("left"), "left_id", "left").join(side("right"), "right_id", "left")
+    return j.withColumn("raw", F.coalesce(nm.cosine(F.col("__left"), F.col("__right")), F.lit(0.0))).drop("__left", "__right")
+
+
 def blocks(p: DataFrame) -> DataFrame:
     return p.select("profile_id", F.explode(nm.blocking_keys(F.col("normalized"), F.col("entity_type"))).alias("key"))
 
@@ -164,23 +183,39 @@ def sound_clusters(clusters: DataFrame, p: DataFrame) -> DataFrame:
     clash = (F.size("full") > 1) | (F.size("short") > 1) | F.exists("short", lambda i: F.exists("full", lambda g: ~g.startswith(i)))
     names = by_name.groupBy("root").agg(F.bool_or(clash).alias("names"))
     kinds = j.groupBy("root").agg((F.countDistinct("entity_type") > 1).alias("kinds"))
-    # two country sets that share nothing: each member's countries against those of the whole cluster with their counts
-    lists = j.where(F.size("countries") > 0).groupBy("root", F.sort_array("countries").alias("cs")).agg(F.count("*").alias("n"))
-    o = lists.select(F.col("root").alias("r2"), F.col("cs").alias("cs2"))
-    apart = lists.join(o, (F.col("root") == F.col("r2")) & ~F.arrays_overlap("cs", "cs2")).select("root").distinct().withColumn("apart", F.lit(True))
+    # two country sets that share nothing: the different sets of a cluster, paired in cells
+    lists = j.where(F.size("countries") > 0).select("root", F.sort_array("countries").alias("cs")).distinct()
+    apart = pairs_within(lists, "root", "cs").where(~F.arrays_overlap("cs", "cs2")).select("root").distinct().withColumn("apart", F.lit(True))
     bad = names.join(kinds, "root").join(apart, "root", "left").select("root", (~(F.col("names") | F.col("kinds") | F.coalesce("apart", F.lit(False)))).alias("sound"))
     return clusters.join(bad, "root").select("profile_id", F.when(F.col("sound"), F.col("root")).otherwise(F.col("profile_id")).alias("root"), "sound")
 
 
+def numbered_entities(entities: DataFrame) -> DataFrame:
+    """entities with entity_id TYPE_00000: numbered from 0 by number of profiles, most first, then by name.
+
+    Numbers run over range partitions, so no task holds all entities.
+    """
+    e = entities.withColumn("__size", F.negative("profiles"))
+    s, by = _numbered_in_order(e, ["__size", "normalized", "root"], "entities")
+    first = Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    n = by.agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(first), F.lit(0)))
+    j = s.join(F.broadcast(n), F.col("__p") == F.col("__q"))
+    number = F.lpad((F.col("__first") + F.col("__k")).cast("string"), F.greatest(F.lit(5), F.length((F.col("__first") + F.col("__k")).cast("string"))), F.lit("0"))
+    return j.select(F.concat_ws("_", "entity_type", number).alias("entity_id"), *entities.columns)
+
+
 def entities_of(clusters: DataFrame, p: DataFrame, matched: DataFrame | None = None, doc: str = "article_id") -> DataFrame:
     """One row for each cluster with the unions of its members' sets, its dates, and the mean score of its matches."""
     j = clusters.join(p, "profile_id")
     canon = F.max_by("canonical_surface", F.struct(F.size(nm.words(F.col("normalized"))), F.length("normalized"), "normalized", "canonical_surface"))
     union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    more = [union(c) for c in ("roles", "orgs", "countries", "topics", "events") if c in p.columns]
+    if "published_at" in p.columns:
+        more += [F.min("published_at").alias("first_seen"), F.max("published_at").alias("last_seen")]
     e = j.groupBy("root").agg(
-        canon.alias("canonical_name"), F.min_by("entity_type", "profile_id").alias("entity_type"), union("surfaces"), union("mention_ids"), F.sort_array(F.collect_set(doc)).alias("article_ids"), F.count("*").alias("profiles"), F.min("normalized").alias("__n")
+        canon.alias("canonical_name"), F.min_by("entity_type", "profile_id").alias("entity_type"), union("surfaces"), union("mention_ids"), F.sort_array(F.collect_set(doc)).alias("article_ids"), F.count("*").alias("profiles"), F.min("normalized").alias("normalized"), *more
     )
     if matched is not None:
         s = matched.join(clusters.select(F.col("profile_id").alias("left_id"), "root"), "left_id").groupBy("root").agg(F.avg("score").alias("merge_confidence"))
         e = e.join(s, "root", "left").withColumn("merge_confidence", F.coalesce("merge_confidence", F.lit(1.0)))
-    return e.withColumns({"article_count": F.size("article_ids"), "mention_count": F.size("mention_ids")}).drop("__n")
+    return e.withColumns({"article_count": F.size("article_ids"), "mention_count": F.size("mention_ids")})

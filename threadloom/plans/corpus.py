@@ -11,8 +11,7 @@ from threadloom.plans.tables import read
 
 
 def _raw(spark, sf_dir):
-    a = read(spark, sf_dir, "articles", "article_id", "title", "source", "published_at", "body", "collected_at")
-    return a.withColumn("published_at", F.when(F.col("published_at").isNotNull(), F.col("collected_at")))
+    return read(spark, sf_dir, "articles", "article_id", "title", "source", "published_at", "body", "collected_at")
 
 
 def ingest_status(spark, sf_dir):
@@ -88,12 +87,13 @@ QUERIES = {f.__name__: f for f in (ingest_status, ingest_stats, article_ids, fin
 
 _STATUS = f"""
 WITH r AS (SELECT *, concat_ws('; ', CASE WHEN title IS NULL THEN 'title: missing' END, CASE WHEN source IS NULL THEN 'source: missing' END,
-    CASE WHEN published_at IS NULL THEN 'published_at: missing' END, CASE WHEN body IS NULL THEN 'body: missing' END) AS reasons FROM articles),
+    CASE WHEN published_at IS NULL THEN 'published_at: missing' END, CASE WHEN body IS NULL THEN 'body: missing' END,
+    CASE WHEN published_at IS NOT NULL AND NOT coalesce(regexp_full_match(published_at, '{lx.ZONED}') AND try_cast(regexp_replace(published_at, '([+-]\\d{{2}})(\\d{{2}})$', '\\1:\\2') AS TIMESTAMPTZ) IS NOT NULL, false) THEN 'published_at: no time with offset' END) AS reasons FROM articles),
 l AS (SELECT *, reasons = '' AND coalesce(length(body) >= {lx.MIN_BODY}, false) AS is_long FROM r),
 b AS (SELECT *, coalesce(max(CASE WHEN is_long THEN 1 ELSE 0 END) OVER (PARTITION BY article_id ORDER BY collected_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
 s AS (SELECT *, CASE WHEN reasons <> '' THEN 'invalid' WHEN before = 1 THEN 'duplicate' WHEN is_long THEN 'kept' ELSE 'too_short' END AS status FROM b)
 """
-_FOLD = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
+_FOLD = lx.PLAIN_SIGNS
 _q = lambda s: s.replace("'", "''")
 _SENT = f"""
 WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?]+["'')\\]]*)(\\s+)(["''(\\[]*[A-Z0-9])', '\\1' || chr(1) || '\\2\\3', 'g'), '(\\n\\s*\\n)', chr(1) || chr(2) || '\\1', 'g') AS t FROM documents WHERE text IS NOT NULL),
@@ -110,14 +110,34 @@ sents AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY gr
 """
 
 
-def _scan_sql(pattern: str, label: str) -> str:
+def _scan_sql(pattern: str, label: str, flags: str = "(?i)") -> str:
     return f"""SELECT doc_id, start_at, start_at + length(text) AS end_at, text, '{label}' AS label FROM (
   SELECT doc_id, raw, CAST(coalesce(sum(length(replace(raw, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at, replace(raw, chr(2), '') AS text FROM (
     SELECT doc_id, unnest(string_split(t, chr(1))) AS raw, generate_subscripts(string_split(t, chr(1)), 1) AS k FROM (
-      SELECT doc_id, regexp_replace(text, '(?i)({_q(pattern)})', chr(1) || chr(2) || '\\1' || chr(1), 'g') AS t FROM documents WHERE text IS NOT NULL))) WHERE starts_with(raw, chr(2))"""
+      SELECT doc_id, regexp_replace(text, '{flags}({_q(pattern)})', chr(1) || chr(2) || '\\1' || chr(1), 'g') AS t FROM documents WHERE text IS NOT NULL))) WHERE starts_with(raw, chr(2))"""
+
+
+def _lexicon_sql() -> str:
+    plain = lambda p: segment.alternation(p).replace("\\ ", " ").replace("\\-", "-")
+    of = lambda m: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in m.items()) + "}"
+    parts = [
+        (plain([*lx.COUNTRIES, *lx.COUNTRY_ALIASES]), "COUNTRY", "", "'GAZ_COUNTRY'"),
+        (plain(lx.DEMONYMS), "MISC", "", f"'GAZ_DEMONYM:' || ({of(lx.DEMONYMS)})[text]"),
+        (plain(lx.ROLES), "ROLE", "(?i)", "'GAZ_ROLE'"),
+        (segment.EVENT, "EVENT", "", "'PAT_EVENT'"),
+        (plain(lx.TOPICS), "TOPIC", "(?i)", f"'GAZ_TOPIC:' || coalesce(({of(lx.TOPICS)})[text], ({of(lx.TOPICS)})[lower(text)], '')"),
+    ]
+    each = " UNION ALL ".join(f"SELECT doc_id, label, {raw} AS raw_label FROM ({_scan_sql(p, label, flags)})" for p, label, flags, raw in parts)
+    return f"SELECT label, raw_label, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM ({each}) GROUP BY 1, 2"
 
 
 SQL = {
+    "lexicon_mentions": _lexicon_sql(),
+    "page_titles": r"""
+WITH t AS (SELECT DISTINCT article_id, title, source FROM articles WHERE title IS NOT NULL AND source IS NOT NULL),
+p AS (SELECT *, regexp_extract(title, '^(.*\S)\s+(?:[|–—-]|::|»)\s+(\S[^|–—]*)$', 1) AS head, regexp_extract(title, '^(.*\S)\s+(?:[|–—-]|::|»)\s+(\S[^|–—]*)$', 2) AS tail FROM t),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(tail), '[^\p{L}\p{M}\p{N}\p{Pc}]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(source), '[^\p{L}\p{M}\p{N}\p{Pc}]+'), lambda x: x <> '') AS b FROM p)
+SELECT article_id, CASE WHEN head <> '' AND list_has_any(a, b) THEN head ELSE title END AS page_title FROM w""",
     "ingest_status": _STATUS + "SELECT article_id, epoch_us(collected_at) AS collected_us, reasons, status FROM s",
     "ingest_stats": _STATUS
     + "SELECT source, count(*) AS seen, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'invalid') AS invalid, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'too_short') AS too_short FROM s GROUP BY 1",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import corpus, dates, evaluation, graph, pipeline, resolution, spans
+from threadloom.plans import corpus, dates, evaluation, graph, pipeline, resolution, spans, stages
 
-MODULES = (dates, corpus, spans, graph, resolution, evaluation, pipeline)
+MODULES = (dates, corpus, spans, graph, resolution, evaluation, stages, pipeline)
 
 
 def queries():

@@ -124,11 +124,10 @@ def _plain_sql(text: str, kind: str) -> str:
     t = f"trim(regexp_replace(regexp_replace(lower(strip_accents({text})), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\p{{Z}}\\s]', ' ', 'g'), '[\\p{{Z}}\\s]+', ' ', 'g'))"
     roles = "|".join(sorted((r.lower() for r in lx.ROLES), key=len, reverse=True))
     person = f"list_filter(string_split(regexp_replace({t}, '^(?:{roles}) +', ''), ' '), lambda x: x <> '' AND x NOT IN ({_in(lx.HONORIFICS)}))"
-    for _ in range(3):
-        person = f"(SELECT CASE WHEN len(p) > 1 AND p[1] IN ({_in(lx.TITLE_SHORT)}) THEN p[2:] ELSE p END FROM (SELECT {person} AS p))"
+    person = f"regexp_replace(array_to_string({person}, ' '), '^(?:(?:{'|'.join(lx.TITLE_SHORT)}) )+', '')"
     org = f"list_filter(string_split(regexp_replace({t}, '(?:(?:^| )(?:{'|'.join(lx.ORG_SUFFIXES)}))+$', ''), ' '), lambda x: x <> '')"
     org = f"(SELECT CASE WHEN len(o) > 1 AND len(list_filter(o, lambda x: x NOT IN ({_in(lx.ORG_STOPWORDS)}))) > 0 THEN list_filter(o, lambda x: x NOT IN ({_in(lx.ORG_STOPWORDS)})) ELSE o END FROM (SELECT {org} AS o))"
-    return f"CASE WHEN {kind} = 'PERSON' THEN array_to_string({person}, ' ') ELSE array_to_string({org}, ' ') END"
+    return f"CASE WHEN {kind} = 'PERSON' THEN {person} ELSE array_to_string({org}, ' ') END"
 
 
 _digits = "translate(regexp_replace(s, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '01230120022455012623010202')"
