@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and local benchmarks; a cluster brings its own."""
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A session for tests and local benchmarks; a cluster brings its own. shared is the folder for stage tables, one of
+    its own for the session if it is not given."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("threadloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared or "file://" + tempfile.mkdtemp(prefix="threadloom-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
