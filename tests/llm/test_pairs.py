@@ -124,3 +124,24 @@ def test_frequent_misspelling(spark):
     e = spark.createDataFrame([(i, "PERSON", t) for i, t in names], "entity_id string, entity_type string, canonical_name string")
     got = {(r["left_id"], r["right_id"]) for r in name_variants.linked_names(m, spark.createDataFrame(names, "entity_id string, alias string"), e).collect()}
     assert ("p1", "p2") in got and ("p3", "p4") not in got  # Barnelov is known from another person
+
+
+def test_no_accepted_pair_is_left_out_before_the_comparison(spark):
+    rng = random.Random(12)
+
+    def typo(w):
+        k = rng.randrange(len(w) - 1)
+        return rng.choice([w[:k] + w[k + 1 :], w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + rng.choice("aeln") + w[k:], w[:k] + rng.choice("aeln") + w[k + 1 :]])
+
+    data = []
+    for _ in range(1500):
+        a, b = sorted("".join(rng.choice("aelnrst") for _ in range(rng.randint(2, 10))) for _ in range(2))
+        x, y = a, b
+        for _ in range(rng.randint(0, 3)):
+            x, y = (typo(x), y) if rng.random() < 0.5 and len(x) > 1 else (x, typo(y) if len(y) > 1 else y)
+        data.append((rng.choice(["PERSON", "PERSON", "ORG"]), a, b, *rng.choice([(x, y), (y, x)])))
+    data += [("PERSON", "betty", "moro", "elizabeth", "moro"), ("ORG", "klaj", "bank", "klja", "bank")]
+    df = spark.createDataFrame(data, "type string, a string, b string, a2 string, b2 string")
+    got = df.select(name_variants._may_be_one().alias("may"), name_variants._compare(F.col("type") == "PERSON", "a", "b", "a2", "b2").alias("c")).groupBy("may", "c.ok").count().collect()
+    n = {(r["may"], r["ok"]): r["count"] for r in got}
+    assert n.get((False, True), 0) == 0 and n[True, True] > 300 and n[False, False] > 100, n

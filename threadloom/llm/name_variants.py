@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from threadloom.llm.components import connected_components
-from threadloom.operators.blocks import pairs_within
+from threadloom.operators.blocks import pairs_within, spread_join
 from threadloom.session import StageTables
 
 # Forms of one given name; the first stands for all.
@@ -278,6 +278,23 @@ def _alike(a: str, b: str) -> tuple[int, float]:
     return edits(a, b), jaro_winkler(a, b)
 
 
+def _may_be_one():
+    """Whether what _compare accepts is possible for a row (type, a, b, a2, b2): cheap tests first, and Levenshtein's distance,
+    in which a swap of neighbours counts two, only where they leave it open."""
+    near = lambda x, y, most: F.levenshtein(x, y, most) >= 0
+    size = lambda x, y: F.abs(F.length(x) - F.length(y)) <= 1
+
+    def tokens(x: str, y: str):
+        """a like x and b like y within two edits: both in one token, or one in each."""
+        one_each = size("a", x) & size("b", y) & near("a", x, 2) & near("b", y, 2)
+        return F.when(F.col("a") == F.col(x), near("b", y, 4)).when(F.col("b") == F.col(y), near("a", x, 4)).otherwise(one_each)
+
+    short = F.col("a").isin(*SHARED) | F.col("b").isin(*SHARED) | F.col("a2").isin(*SHARED) | F.col("b2").isin(*SHARED)
+    total = F.abs(F.length("a") + F.length("b") - F.length("a2") - F.length("b2")) <= 2
+    person = short | (total & (tokens("a2", "b2") | tokens("b2", "a2")))
+    return F.when(F.col("type") == "PERSON", person).otherwise((F.col("b") == F.col("b2")) & near("a", "a2", 4))
+
+
 _COMPARED = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("cost", T.IntegerType()), T.StructField("jw", T.DoubleType())])
 
 
@@ -322,7 +339,7 @@ class NameClusters:
     def _forms(self) -> DataFrame:
         n = self.mentions.groupBy("type", "text").agg(F.count("*").alias("n"))
         n = n.unionByName(self.names_of.groupBy("type", "text").agg(F.count("*").alias("n")))
-        n = self.keep.write(n.groupBy("type", "text").agg(F.sum("n").alias("n")), "texts")
+        n = self.texts = self.keep.write(n.groupBy("type", "text").agg(F.sum("n").alias("n")), "texts")
         # a word belongs to firms' kinds if it stands behind the first words of many firms; spellings of one first word count once
         words = self.keep.write(n.where("type = 'ORG'").mapInPandas(_org_words, "word string, first string"), "org_words")
         firsts = words.select("first").distinct().count()
@@ -341,13 +358,9 @@ class NameClusters:
         nodes = keep.write(nodes, "nodes")
         k = nodes.select("type", "node", "a", "b", "n", "ka", "kb", F.explode("keys").alias("key"))
         # the more frequent spelling leads; each spelling follows the one best leader
-        p = pairs_within(k, "key", "node").where("n < n2 or (n = n2 and node > node2)").drop("key", "type2").distinct()
-        # two edits of neighbours or letters are four in Levenshtein's count at most; only a shared short form may differ by more
-        short = F.col("a").isin(*SHARED) | F.col("b").isin(*SHARED) | F.col("a2").isin(*SHARED) | F.col("b2").isin(*SHARED)
-        d = lambda x, y: F.levenshtein(x, y)
-        straight, crossed = d("a", "a2") + d("b", "b2"), d("a", "b2") + d("b", "a2")
-        near = F.when(F.col("type") == "PERSON", short | (F.least(straight, crossed) <= 4)).otherwise((F.col("b") == F.col("b2")) & (d("a", "a2") <= 4))
-        p = p.where(near).withColumn("c", _compare(F.col("type") == "PERSON", "a", "b", "a2", "b2")).where("c.ok")
+        p = pairs_within(k, "key", "node").where("n < n2 or (n = n2 and node > node2)")
+        p = p.where(_may_be_one()).drop("key", "type2").distinct()
+        p = p.withColumn("c", _compare(F.col("type") == "PERSON", "a", "b", "a2", "b2")).where("c.ok")
         # a spelling written nearly as often as its leader follows it only by one edit in a token that is rare beside the
         # leader's (it goes with few other tokens), or that is long and goes with nothing else
         attested = (F.col("n") > 2) & (F.col("n") * 4 > F.col("n2"))
@@ -398,7 +411,8 @@ class NameClusters:
         ent = of.join(byfull, "entity_id", "left").select("entity_id", "type", F.coalesce("full", F.when(F.col("k") == 1, F.col("least"))).alias("cluster")).where("cluster is not null")
         self.entity_cluster = keep.write(ent, "entity_cluster")
         # mentions: by their text, else by the one fitting cluster that has a sure mention in the same article
-        sure = self.mentions.join(self.sure, ["type", "text"]).select("mention_id", "article_id", "type", "text", "cluster")
+        # one text may be a large part of all mentions
+        sure = spread_join(self.mentions, self.sure, ["type", "text"], "mention_id", counts=self.texts).select("mention_id", "article_id", "type", "text", "cluster")
         self.sure_mentions = sure
         # an article's few clusters first, then the texts that fit them: a surname of very many mentions and clusters never fans out
         there = sure.select("article_id", "cluster").distinct().join(self.fit, "cluster")
