@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.blocks import spread_join
 from threadloom.session import StageTables
 
 #: Edges that one cell's union-find gets at most, save for a few in a hash collision. It bounds a task's memory.
@@ -126,7 +127,8 @@ def connected_components(
         if n > edges_per_cell:
             s = stars.where("vertex <> rep").select("vertex", "rep")
             s = s.join(parents.withColumnRenamed("parent", "pv"), "vertex")
-            s = s.join(parents.select(F.col("vertex").alias("rep"), F.col("parent").alias("pr")), "rep")
+            # one representative may stand for very many vertices
+            s = spread_join(s, parents.select(F.col("vertex").alias("rep"), F.col("parent").alias("pr")), ["rep"], "vertex")
             s = s.where("pv <> pr").select(F.least("pv", "pr").alias("u"), F.greatest("pv", "pr").alias("v"))
             e = keep.write(s.distinct(), f"edges{k + 1}")
             n = e.count()
@@ -140,9 +142,9 @@ def connected_components(
     label = maps[-1].select("vertex", F.col("parent").alias("label"))
     for m in reversed(maps[:-1]):
         up = label.select(F.col("vertex").alias("parent"), F.col("label").alias("further"))
-        label = m.join(up, "parent", "left").select("vertex", F.coalesce("further", "parent").alias("label"))
-    least = label.groupBy("label").agg(F.min("vertex").alias("component"))
-    return label.join(least, "label").select("vertex", "component")
+        label = spread_join(m, up, ["parent"], "vertex", how="left").select("vertex", F.coalesce("further", "parent").alias("label"))
+    least = label.groupBy("label").agg(F.min("vertex").alias("component"), F.count("*").alias("n"))
+    return spread_join(label, least.drop("n"), ["label"], "vertex", counts=least).select("vertex", "component")
 
 
 def groups_of_pairs(pairs: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
