@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.tokens import TOKENIZER, ranked, with_token_counts
+from threadloom.operators.blocks import spread_join
 from threadloom.session import StageTables
 
 #: Tokens of the knapsack's first window; it grows only while the budget is missed.
@@ -146,7 +147,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, se
     # one row for each different text, told by 128 bits of hashes; only ids and hashes are shuffled, then the few repeats go
     h = d.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(3), "text").alias("h2"))
     again = h.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = h.join(again, ["h1", "h2"]).where("doc_id <> first").select("doc_id").distinct()
+    again = spread_join(h, again.drop("n"), ["h1", "h2"], "doc_id", counts=again).where("doc_id <> first").select("doc_id").distinct()
     n = with_token_counts(d, "doc_id", "text", ("source",), path)
     n = keep.write(n.join(again.withColumnRenamed("doc_id", "id"), "id", "left_anti").dropDuplicates(["id"]), "lengths")
     counts: dict[str, dict[int, int]] = {}
@@ -181,15 +182,12 @@ def p9_shares(spark, sf_dir):
 
 
 def p9_kept(spark, sf_dir):
-    """Whether each source of the mix keeps its share, its repeats and the texts' tokens."""
+    """Whether each source of the mix keeps its repeats, has one row a text, and none but its own texts."""
     d, t = _tables(spark, sf_dir)
-    m = mixed(d, t).groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"), F.max("uses").alias("most"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
-    m = m.withColumn("everything", F.sum("used").over(Window.partitionBy()))  # over one row for each source of the mix
-    r = t.join(m, "source", "left")
-    return r.select(
-        "source", (F.abs(F.col("used") / F.col("everything") - F.col("target_share")) < 0.002).alias("share_kept"), (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("n") == F.col("ids")).alias("one_row_a_text")
-    )
+    own = d.select("doc_id", F.col("source").alias("own")).distinct()
+    m = mixed(d, t).join(own, "doc_id").groupBy("source").agg(F.max("uses").alias("most"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.bool_and(F.col("own") == F.col("source")).alias("own_texts"))
+    return t.join(m, "source").select("source", (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("n") == F.col("ids")).alias("one_row_a_text"), "own_texts")
 
 
 QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept": p9_kept}
-SQL = {"p9_kept": "SELECT source, TRUE AS share_kept, TRUE AS repeats_kept, TRUE AS one_row_a_text FROM mix_targets"}
+SQL = {"p9_kept": "SELECT source, TRUE AS repeats_kept, TRUE AS one_row_a_text, TRUE AS own_texts FROM mix_targets"}
