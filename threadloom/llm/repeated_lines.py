@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from threadloom.llm.components import connected_components
+from threadloom.operators.blocks import spread_join
 from threadloom.session import StageTables
 
 MIN_LETTERS = 20
@@ -63,8 +64,9 @@ def repeated_lines(
     keep = StageTables(articles.sparkSession, "lines")
     lines = _eligible(articles, id_col, source_col, body_col, min_letters)
     # Rows per node first: that is one narrow pre-aggregated shuffle, and lines below the bound end here.
-    often = lines.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_articles).drop("n")
-    occ = lines.join(often, ["k1", "k2"]).dropDuplicates(["id", "line_no", "k1", "k2"])
+    often = keep.write(lines.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_articles), "often")
+    # one line may be a large part of all
+    occ = spread_join(lines, often.drop("n"), ["k1", "k2"], "id", counts=often).dropDuplicates(["id", "line_no", "k1", "k2"])
     occ = keep.write(occ, "occurrences")
     nodes = occ.groupBy("k1", "k2").agg(F.countDistinct("id").alias("support")).where(F.col("support") >= min_articles)
     nodes = keep.write(nodes, "nodes")
