@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -219,3 +220,37 @@ def test_every_core_query_runs(spark, sf):
     for name in ("co_occurrence", "graph_edges", "windowed_events", "resolved_entities", "coref_clusters", "sentence_cover"):
         assert q[name](spark, sf).columns
     assert registry.flagship(spark, sf).count() > 0 and q["windowed_events"](spark, sf).count() > 0
+
+
+def test_spellings_equal_token_set_ratio():
+    """Many pairs at once as each alone: other alphabets, names longer than a word of bits, many tokens, nulls, new batches."""
+    rng, s = random.Random(6), nm.Spellings()
+    known = ["ab", "abc", "foods", "ñá", "x" * 20, "αβ", "kelvar"]
+    name = lambda: " ".join(rng.choice(known) if rng.random() < 0.7 else "".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 12 if rng.random() < 0.1 else 4)))
+    for k in range(3):
+        a, b = ([None, "", "α" * 70, "".join(map(chr, range(300, 380)))] + [name() for _ in range(700)] for _ in range(2))
+        rng.shuffle(b)
+        assert s.of(nm.pa.array(a), nm.pa.array(b)).tolist() == [nm.token_set_ratio(x or "", y or "") for x, y in zip(a, b)]
+        s.KEPT = (nm.Spellings.KEPT, 900, 100)[k]  # rows are given up, then batches halved
+
+
+def random_profiles(spark, n=150):
+    rng = random.Random(7)
+    some = lambda xs: sorted(rng.sample(xs, rng.randint(0, 2)))
+    data = [(f"p{i % (n - 3):03d}", rng.choice(["PERSON", "ORG", None]), rng.choice([None, ""] + 9 * [" ".join(rng.choices(["ana", "a", "moro", "foods", "kelvar", "af", "lines"], k=rng.randint(1, 3)))]), some(["x", "y", "z"]), some(["r", "s"]), some(["o"] * 2), some(["c", "d"]), f"2024-10-{rng.randint(1, 28):02d}") for i in range(n)]
+    return spark.createDataFrame(data, "profile_id string, entity_type string, normalized string, norm_surfaces array<string>, roles array<string>, orgs array<string>, countries array<string>, published_at string").withColumn("published_at", F.col("published_at").cast("timestamp"))
+
+
+def test_features_where_pairs_meet(spark, monkeypatch):
+    """Pairs under their least key in cells, with equal and repeated ids too, give the rows of pairs made distinct and joined with both profiles."""
+    p = random_profiles(spark)
+    told = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    want = told(resolution.pair_features(resolution.candidate_pairs(resolution.blocks(p)), p))
+    assert told(resolution.features(resolution.met_pairs(p))) == want and len(want) > 500
+    monkeypatch.setattr(resolution, "pairs_within", functools.partial(blocks.pairs_within, cell=7))
+    assert told(resolution.features(resolution.met_pairs(p))) == want
+
+
+def test_texts_of_features(spark):
+    x = spark.createDataFrame([(v,) for v in [0.0, 0.005, 0.015, 0.125, 0.345, 0.35, 0.7, 0.995, 1.0, 1.5, -0.2] + [k / 1000 for k in range(1001)]], "x double")
+    assert x.where(nm._two_places(F.col("x"), "name=", "x0.35") != F.format_string("name=%.2fx0.35", "x")).count() == 0

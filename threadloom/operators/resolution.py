@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -128,28 +130,69 @@ def context_rank(pairs: DataFrame, raw: str, ties: str = "position") -> DataFram
     return j.withColumn("context", F.when(F.col("__all") > 1, rank).otherwise(0.5)).select(*pairs.columns, "context")
 
 
+#: Feature -> the sets that it compares.
+SETS = {"alias": "norm_surfaces", "role": "roles", "org": "orgs", "country": "countries"}
+#: What features are made of.
+PROFILE = ("profile_id", "entity_type", "normalized", "norm_surfaces", "roles", "orgs", "countries", "published_at")
+
+
+def _with_parts(p: DataFrame) -> DataFrame:
+    """What features are made of, with the parts of names and the bits of sets: taken once a profile, not once a pair."""
+    p = p.select(*PROFILE, nm.words(F.col("normalized")).alias("words"), nm.acronym(F.col("normalized")).alias("acronym"))
+    return p.withColumns({f"{c}_bits": nm.bits(F.col(c)) for c in ("words", *SETS.values())})
+
+
+def _l(c: str) -> Column:
+    return F.col(f"left_{c}")
+
+
+def _r(c: str) -> Column:
+    return F.col(f"right_{c}")
+
+
+def met_pairs(p: DataFrame, only: Callable[[Callable, Callable], Column] | None = None) -> DataFrame:
+    """The candidate pairs of p with what features are made of, as left_* and right_*; only gives a
+    condition from the two sides' columns.
+
+    A pair that shares several keys is made in the block of the least of them alone, so pairs are never made distinct,
+    never shuffled and never joined with their profiles.
+    """
+    own = nm.blocking_keys(F.col("normalized"), F.col("entity_type"))
+    keys = F.array_sort(F.array_distinct(F.flatten(F.collect_list(own).over(Window.partitionBy("profile_id")))))
+    p = _with_parts(p).withColumn("__keys", keys)
+    cols = p.columns[:-1]
+    b = p.select(*[F.col(c).alias(f"left_{c}") for c in cols], "__keys", F.posexplode("__keys").alias("__i", "__key"))
+    b = b.withColumn("left_before", F.slice("__keys", 1, F.col("__i"))).drop("__keys", "__i")
+    r = lambda c: F.col(f"left_{c}2")
+    first = (F.size("left_before") == 0) | (F.size(r("before")) == 0) | ~F.arrays_overlap("left_before", r("before"))
+    j = pairs_within(b, "__key", "left_profile_id", once=lambda: (only(_l, r) & first) if only else first)
+    return j.select(*[_l(c) for c in cols], *[r(c).alias(f"right_{c}") for c in cols]).withColumnsRenamed({"left_profile_id": "left_id", "right_profile_id": "right_id"})
+
+
 def pair_features(pairs: DataFrame, p: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Features, vetoes, score, decision and reason of candidate pairs. p has profile_id, entity_type, normalized,
     norm_surfaces, roles, orgs, countries (arrays) and published_at; pairs may have context."""
-    side = lambda s: p.select(*[F.col(c).alias(f"{s}_{c}" if c != "profile_id" else f"{s}_id") for c in ("profile_id", "entity_type", "normalized", "norm_surfaces", "roles", "orgs", "countries", "published_at")])
-    j = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-    l = lambda c: F.col(f"left_{c}")  # noqa: E731,E741
-    r = lambda c: F.col(f"right_{c}")
+    p = _with_parts(p)
+    side = lambda s: p.select(*[F.col(c).alias(f"{s}_{c}" if c != "profile_id" else f"{s}_id") for c in p.columns])
+    return features(pairs.join(side("left"), "left_id").join(side("right"), "right_id"), fuzzy)
+
+
+def features(j: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """pair_features of pairs that have both sides' columns as left_* and right_* (met_pairs), and maybe context."""
+    l, r = _l, _r  # noqa: E741
+    parts = (l("words"), r("words"), l("acronym"), r("acronym"), l("words_bits"), r("words_bits"))
     both = (F.size(l("countries")) > 0) & (F.size(r("countries")) > 0)
     veto = (
         F.when(l("entity_type") != r("entity_type"), "entity type differs")
-        .when((l("entity_type") == "PERSON") & nm.given_name_conflict(l("normalized"), r("normalized")), "given names differ")
+        .when((l("entity_type") == "PERSON") & nm.given_name_conflict(l("normalized"), r("normalized"), parts), "given names differ")
         .when(both & ~F.arrays_overlap(l("countries"), r("countries")), "countries differ")
     )
     j = j.withColumn("veto", veto).withColumns(
-        {
-            "name": nm.name_compatibility(l("normalized"), r("normalized"), fuzzy),
-            "alias": nm.jaccard(l("norm_surfaces"), r("norm_surfaces")),
-            "role": nm.jaccard(l("roles"), r("roles")),
-            "org": nm.jaccard(l("orgs"), r("orgs")),
-            "country": nm.jaccard(l("countries"), r("countries")),
+        {k: nm.jaccard(l(c), r(c), l(f"{c}_bits"), r(f"{c}_bits")) for k, c in SETS.items()}
+        | {
+            "name": nm.name_compatibility(l("normalized"), r("normalized"), fuzzy, parts),
             "temporal": nm.temporal_proximity(l("published_at"), r("published_at")),
-            "context": F.col("context") if "context" in pairs.columns else F.lit(0.0),
+            "context": F.col("context") if "context" in j.columns else F.lit(0.0),
         }
     )
     f = {k: F.col(k) for k in lx.WEIGHTS}

@@ -46,8 +46,7 @@ def blocking_report(spark, sf_dir):
 
 
 def _decided(spark, sf_dir, fuzzy=False):
-    p = names(spark, sf_dir)
-    return er.pair_features(er.candidate_pairs(er.blocks(p)), p, fuzzy)
+    return er.features(er.met_pairs(names(spark, sf_dir)), fuzzy)
 
 
 def pair_features(spark, sf_dir):
