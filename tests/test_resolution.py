@@ -254,3 +254,13 @@ def test_features_where_pairs_meet(spark, monkeypatch):
 def test_texts_of_features(spark):
     x = spark.createDataFrame([(v,) for v in [0.0, 0.005, 0.015, 0.125, 0.345, 0.35, 0.7, 0.995, 1.0, 1.5, -0.2] + [k / 1000 for k in range(1001)]], "x double")
     assert x.where(nm._two_places(F.col("x"), "name=", "x0.35") != F.format_string("name=%.2fx0.35", "x")).count() == 0
+
+
+def test_matches_equal_decisions(spark):
+    """Leaving out the pairs that can't match where they meet loses none that do."""
+    p = random_profiles(spark)
+    met = resolution.features(resolution.met_pairs(p))
+    want = rows(met.where("decision = 'match'"), "left_id", "right_id", "score")
+    assert rows(resolution.matches(p)) == want and 5 < len(want) < met.count()
+    sets = p.withColumns({c: F.array_distinct(c) for c in resolution.SETS.values()})
+    assert len(want) <= resolution.met_pairs(sets, resolution._may_match).count() < met.count()

@@ -169,6 +169,22 @@ def met_pairs(p: DataFrame, only: Callable[[Callable, Callable], Column] | None
     return j.select(*[_l(c) for c in cols], *[r(c).alias(f"right_{c}") for c in cols]).withColumnsRenamed({"left_profile_id": "left_id", "right_profile_id": "right_id"})
 
 
+def _may_match(l: Callable[[str], Column], r: Callable[[str], Column]) -> Column:
+    """False only for pairs whose score is below a match whatever their spellings, dates and sets hold: from the sizes of
+    the sets, which must be without repeats, and from equality of the names."""
+    n = lambda c: F.size(c).cast("double")
+    most = {k: F.when((F.size(l(c)) > 0) & (F.size(r(c)) > 0), F.least(n(l(c)), n(r(c))) / F.greatest(n(l(c)), n(r(c)))).otherwise(0.0) for k, c in SETS.items()}
+    most |= {"name": F.when(l("normalized") == r("normalized"), 1.0).otherwise(max(lx.NAME_SUBSET, lx.NAME_FUZZY)), "temporal": F.lit(1.0), "context": F.lit(0.0)}
+    return nm.pair_score(most) > lx.MATCH - 1e-9
+
+
+def matches(p: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """(left_id, right_id, score) of the candidate pairs of p that match, without contexts. Pairs that can't match are
+    left out where they meet; all others get every feature."""
+    p = p.withColumns({c: F.array_distinct(c) for c in SETS.values()})
+    return features(met_pairs(p, _may_match), fuzzy).where("decision = 'match'").select("left_id", "right_id", "score")
+
+
 def pair_features(pairs: DataFrame, p: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Features, vetoes, score, decision and reason of candidate pairs. p has profile_id, entity_type, normalized,
     norm_surfaces, roles, orgs, countries (arrays) and published_at; pairs may have context."""

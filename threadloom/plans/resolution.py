@@ -9,6 +9,7 @@ from threadloom.functions import names as nm
 from threadloom.operators import graph
 from threadloom.operators import resolution as er
 from threadloom.plans.tables import M, mentions, read
+from threadloom.session import StageTables
 
 
 def names(spark, sf_dir):
@@ -79,8 +80,7 @@ def pair_groups(spark, sf_dir):
 def resolved_entities(spark, sf_dir):
     """Blocked, scored, matched, split where unsound, and gathered to entities."""
     p = names(spark, sf_dir)
-    d = er.pair_features(er.candidate_pairs(er.blocks(p)), p, True)
-    matched = d.where("decision = 'match'").select("left_id", "right_id", "score")
+    matched = StageTables(spark, "resolution").write(er.matches(p), "matches")  # used twice
     c = er.sound_clusters(er.match_clusters(p, matched), p)
     q = p.withColumns({"article_id": F.col("profile_id"), "canonical_surface": F.col("canonical_name"), "surfaces": F.col("norm_surfaces"), "mention_ids": F.array("profile_id")})
     e = er.entities_of(c.select("profile_id", "root"), q, matched)
