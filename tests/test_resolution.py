@@ -264,3 +264,15 @@ def test_matches_equal_decisions(spark):
     assert rows(resolution.matches(p)) == want and 5 < len(want) < met.count()
     sets = p.withColumns({c: F.array_distinct(c) for c in resolution.SETS.values()})
     assert len(want) <= resolution.met_pairs(sets, resolution._may_match).count() < met.count()
+
+
+def test_measured_then_scored(spark):
+    """The pipeline's way: pairs measured where they meet or in blocks of a size, ranked, then scored; as by joins with the profiles."""
+    p = random_profiles(spark).dropDuplicates(["profile_id"])
+    for most in (None, 40):
+        pairs = resolution.candidate_pairs(resolution.blocks(p), most).withColumn("raw", F.lit(0.0))
+        want = rows(resolution.pair_features(resolution.context_rank(pairs, "raw").drop("raw"), p).select("left_id", "right_id", "context", "score", "decision", "reason"))
+        measured = resolution.measured_pairs(p, most).withColumn("raw", F.lit(0.0))
+        assert "context" not in measured.columns
+        got = resolution.scored(resolution.context_rank(measured, "raw").drop("raw"))
+        assert rows(got.select("left_id", "right_id", "context", "score", "decision", "reason")) == want and len(want) > 100
